@@ -19,8 +19,8 @@ def running_counts(events: DataFrame, probes: list[DataFrame], group: list[str],
     """Running totals of ``sums`` at every instant ``at`` (epoch micros) of the events and the probes.
 
     Returns one row per (group, at): ``before_<c>`` is the total strictly earlier, ``upto_<c>`` includes
-    the instant. ``events`` has group, at and the summed columns; probes have group and at. ``lasts`` are struct columns of ``events`` carried
-    forward the same way; at one instant the largest struct wins.
+    the instant. ``events`` has group, at and the summed columns; probes have group and at. ``lasts`` are
+    struct columns of ``events`` carried forward the same way; at one instant the largest struct wins.
     """
     lasts = lasts or []
     parts = [events.select(*group, "at", *sums, *lasts)]
@@ -39,6 +39,7 @@ def running_counts(events: DataFrame, probes: list[DataFrame], group: list[str],
         "at",
         *[F.col(f"before_{c}") for c in sums],
         *[(F.col(f"before_{c}") + F.col(c)).alias(f"upto_{c}") for c in sums],
+        *[F.col(f"before_{c}") for c in lasts],
         *[F.coalesce(c, f"before_{c}").alias(f"upto_{c}") for c in lasts],
     )
 

@@ -182,18 +182,20 @@ _STATES = list(domain.SHIPMENT_STATUSES)
 
 
 def _code(status: Column) -> Column:
-    return F.nullif(F.array_position(F.array(*[F.lit(s) for s in _STATES]), status).cast("int"), F.lit(0))
+    """1..8, or 0 for a status that is missing or unknown."""
+    return F.coalesce(F.array_position(F.array(*[F.lit(s) for s in _STATES]), status), F.lit(0)).cast("int")
 
 
 def _name(code: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(s) for s in _STATES]), code)
+    # get() is NULL outside the array; element_at() of a NULL index is not safe to rely on
+    return F.get(F.array(*[F.lit(s) for s in _STATES]), code - 1)
 
 
 def _next(state: Column, asked: Column) -> Column:
     """Status code after a request: the one asked for if the move is legal, else unchanged."""
     table = [[b if a == b or b in domain.STATUS_MOVES[a] else a for b in _STATES] for a in _STATES]
     codes = F.array(*[F.array(*[F.lit(_STATES.index(s) + 1) for s in row]) for row in table])
-    return F.coalesce(F.element_at(F.element_at(codes, state), asked), state)
+    return F.when((state == 0) | (asked == 0), state).otherwise(F.element_at(F.element_at(codes, state), asked))
 
 
 def _states_met(run: str, enter: Column, step) -> Column:
@@ -220,7 +222,7 @@ def resolve_changes(changes: DataFrame, shipments: DataFrame, block: int = 256)
         return _next(state, x["ask"])
 
     def fold_step(state: Column, x: Column) -> Column:
-        return F.element_at(x["to"], state)
+        return F.when(state == 0, state).otherwise(F.element_at(x["to"], state))
 
     def folded(step) -> Column:
         return F.array(*[F.aggregate("run", F.lit(n + 1), step) for n in range(len(_STATES))])
@@ -237,7 +239,7 @@ def resolve_changes(changes: DataFrame, shipments: DataFrame, block: int = 256)
     whole = large.groupBy("shipment_id").agg(F.array_sort(F.collect_list(F.struct("b1", "to"))).alias("run"))
 
     current = shipments.select(F.col("id").alias("shipment_id"), _code(F.col("status")).alias("enter"))
-    opened = whole.join(current, "shipment_id", "left")
+    opened = whole.join(current, "shipment_id", "left").withColumn("enter", F.coalesce("enter", F.lit(0)))
     enter_large = _handed_down(opened, ["shipment_id"], "b1", fold_step)
     enter_small = _handed_down(middle.join(enter_large, ["shipment_id", "b1"]), ["shipment_id", "b1"], "b0", fold_step)
     walked = runs.join(enter_small, ["shipment_id", "b1", "b0"]).withColumn("met", _states_met("run", F.col("enter"), request_step))

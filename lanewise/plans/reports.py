@@ -15,6 +15,7 @@ from lanewise.functions import columns as C
 from lanewise.operators import filters, joins
 from lanewise.operators.intervals import running_counts
 from lanewise.operators.ordering import Key, exclusive_scan, positions, with_levels
+from lanewise.sources.checkpoints import materialized
 
 
 def _money(total: Column, digits: int = 22) -> Column:
@@ -222,58 +223,61 @@ def exception_cascades(events: DataFrame, shipments: DataFrame, as_of: str, days
 
 
 def cascades(events: DataFrame, shipments: DataFrame, as_of: str | None, days: int, hours: int) -> DataFrame:
-    """Per shipment (first exceptions of the last ``days`` days, or of any time without ``as_of``): how many (own exception, later exception of another shipment) pairs fall in the
-    window, the first own exception with one, and the last of the others.
+    """Per shipment (first exceptions of the last ``days`` days, or of any time without ``as_of``): how many
+    (own exception, later exception of another shipment) pairs fall in the window, the first own exception
+    with one, and the last of the others.
 
     No pair is built. Later exceptions on a route are a difference of two running counts; those of the
-    shipment itself are a difference of two more. The last exception of *another* shipment before an
-    instant is the last one on the route, or, when that is the shipment's own, the end of the run before it.
+    shipment itself are a difference of two more. For the last exception of *another* shipment, each instant
+    of a route remembers whether one shipment alone had exceptions then, and where the run of that shipment
+    was last broken. The exceptions, a small share of the log, are checkpointed because the counts read
+    them several times.
     """
     window = hours * 3_600_000_000
     lanes = shipments.select(F.col("id").alias("shipment_id"), "route_id")
     failed = events.filter("is_exception AND event_time IS NOT NULL").groupBy("shipment_id", F.unix_micros("event_time").alias("at"))
-    cells = failed.agg(F.count("*").alias("n")).join(lanes, "shipment_id")
-
-    # end of the run of other shipments before each exception, in (time, shipment) order on the route
-    ordered, levels = with_levels(cells, [Key("at"), Key("shipment_id")])
-    ordered = ordered.withColumn("_here", F.struct("shipment_id", "at"))
-    ordered = exclusive_scan(ordered, ["route_id"], levels, lasts=["_here"])
-    ordered = ordered.withColumn("_turn", F.when(F.col("before__here.shipment_id") != F.col("shipment_id"), F.col("before__here.at")))
-    ordered = ordered.drop("before__here")
-    ordered = exclusive_scan(ordered, ["route_id"], levels, lasts=["_turn"])
-    run = ordered.select(
-        "route_id", "shipment_id", "at", "n", F.struct("shipment_id", "at", F.coalesce("_turn", "before__turn").alias("other")).alias("_last")
-    )
-
+    cells = materialized(failed.agg(F.count("*").alias("n")).join(lanes, "shipment_id"))
     sources = cells
     if as_of is not None:
         sources = cells.filter(F.col("at") >= F.unix_micros(C.instant(as_of)) - F.lit(days * 86_400_000_000))
-    sources = sources.withColumn("_end", F.col("at") + window)
-    starts = sources.select("route_id", "at").distinct()
-    ends = sources.select("route_id", F.col("_end").alias("at")).distinct()
-    route = running_counts(run, [starts, ends], ["route_id"], ["n"], ["_last"])
-    own = running_counts(cells, [sources.select("shipment_id", F.col("_end").alias("at"))], ["shipment_id"], ["n"])
-
-    at_start = route.select("route_id", "at", F.col("upto_n").alias("_route_from"))
-    at_end = route.select("route_id", F.col("at").alias("_end"), F.col("upto_n").alias("_route_to"), F.col("upto__last").alias("_last"))
-    own_start = own.select("shipment_id", "at", F.col("upto_n").alias("_own_from"))
-    own_end = own.select("shipment_id", F.col("at").alias("_end"), F.col("upto_n").alias("_own_to"))
+    sources = sources.withColumn("end", F.col("at") + window)
+
+    alone = F.when(F.min("shipment_id") == F.max("shipment_id"), F.max("shipment_id"))
+    instants = cells.groupBy("route_id", "at").agg(F.sum("n").alias("n"), alone.alias("alone"))
+    instants = instants.withColumn("here", F.struct("alone", "at"))
+    probes = sources.select("route_id", F.col("end").alias("at")).distinct()
+    seen = running_counts(instants, [probes], ["route_id"], ["n"], ["here"])
+    same_run = F.col("before_here.alone").eqNullSafe(F.col("upto_here.alone")) & F.col("upto_here.alone").isNotNull()
+    is_event = F.col("upto_here.at") == F.col("at")
+    broken = F.when(is_event & ~same_run, F.struct(F.col("before_here.at").alias("at")))
+    seen = materialized(seen.withColumn("broken", broken).drop("before_here"))
+    turned, levels = with_levels(seen, [Key("at")])
+    turned = exclusive_scan(turned, ["route_id"], levels, lasts=["broken"])
+    route = turned.select(
+        "route_id", "at", "upto_n", F.col("upto_here.alone").alias("alone"), F.col("upto_here.at").alias("last"), F.coalesce("broken", "before_broken")["at"].alias("other")
+    )
+    own = running_counts(cells, [sources.select("shipment_id", F.col("end").alias("at"))], ["shipment_id"], ["n"])
+
+    at_start = seen.select("route_id", "at", F.col("upto_n").alias("route_from"))
+    at_end = route.select("route_id", F.col("at").alias("end"), F.col("upto_n").alias("route_to"), "alone", "last", "other")
+    own_start = own.select("shipment_id", "at", F.col("upto_n").alias("own_from"))
+    own_end = own.select("shipment_id", F.col("at").alias("end"), F.col("upto_n").alias("own_to"))
     probed = (
         sources.join(at_start, ["route_id", "at"])
-        .join(at_end, ["route_id", "_end"])
+        .join(at_end, ["route_id", "end"])
         .join(own_start, ["shipment_id", "at"])
-        .join(own_end, ["shipment_id", "_end"])
+        .join(own_end, ["shipment_id", "end"])
     )
-    others = (F.col("_route_to") - F.col("_route_from")) - (F.col("_own_to") - F.col("_own_from"))
-    last = F.when(F.col("_last.shipment_id") != F.col("shipment_id"), F.col("_last.at")).otherwise(F.col("_last.other"))
+    others = (F.col("route_to") - F.col("route_from")) - (F.col("own_to") - F.col("own_from"))
+    seen_last = F.when(F.col("alone") == F.col("shipment_id"), F.col("other")).otherwise(F.col("last"))
     return (
-        probed.withColumns({"_others": others, "_seen": last})
-        .filter("_others > 0")
+        probed.withColumns({"others": others, "seen": seen_last})
+        .filter("others > 0")
         .groupBy("shipment_id", "route_id")
         .agg(
-            F.sum(F.col("n") * F.col("_others")).alias("cascade_exception_count"),
+            F.sum(F.col("n") * F.col("others")).alias("cascade_exception_count"),
             F.timestamp_micros(F.min("at")).alias("first_exception_time"),
-            F.timestamp_micros(F.max("_seen")).alias("last_cascade_time"),
+            F.timestamp_micros(F.max("seen")).alias("last_cascade_time"),
         )
     )
 
