@@ -11,6 +11,9 @@ The scan here gives the same answers from bounded pieces:
   what its parent slice had before it.
 
 So the widest window is one slice, not one key. Nothing is sampled and nothing is collected.
+
+The input is read once per level, so it must give the same rows each time: pass a frame with an
+unordered ``limit`` or a random column through ``sources.checkpoints.materialized`` first.
 """
 
 from __future__ import annotations
@@ -30,11 +33,16 @@ _LAST = (1 << 63) - 1
 
 @dataclass(frozen=True)
 class Key:
-    """An ordering column. NULLs sort last unless ``nulls_first``; strings sort ascending only."""
+    """An ordering column. NULLs sort last unless ``nulls_first``; strings sort ascending only.
+
+    ``sliced=False`` saves a level for a number with few distinct values, such as a row count per
+    group: k different counts need at least k * k / 2 rows, so 10^11 rows have under 450 000 of them.
+    """
 
     column: str
     descending: bool = False
     nulls_first: bool = False
+    sliced: bool = True
 
 
 def sortable(dtype: T.DataType, column: Column) -> Column:
@@ -69,7 +77,8 @@ def with_levels(df: DataFrame, keys: list[Key], prefix: str = "_k") -> tuple[Dat
         if key.descending:
             value = F.bitwise_not(value)
         value = F.coalesce(value, F.lit(-_LAST if key.nulls_first else _LAST))
-        columns[f"{prefix}{n}s"] = F.shiftright(value, _SLICE_BITS)
+        if key.sliced:
+            columns[f"{prefix}{n}s"] = F.shiftright(value, _SLICE_BITS)
         columns[f"{prefix}{n}"] = value
     return df.withColumns(columns), list(columns)
 
@@ -148,14 +157,14 @@ def peer_totals(df: DataFrame, key: Key, measures: dict[str, Column], group: lis
     rows, levels = with_levels(df, [key])
     cells = rows.groupBy(*group, *levels).agg(*[m.alias(name) for name, m in measures.items()])
     names = list(measures)
-    return exclusive_scan(cells, list(group), levels, sums=names, totals=names).drop(levels[0])
+    return exclusive_scan(cells, list(group), levels, sums=names, totals=names).drop(*levels[:-1])
 
 
 def with_peer_totals(df: DataFrame, key: Key, measures: dict[str, Column], group: list[str] = ()) -> DataFrame:
     """Rows of ``df`` with the ``peer_totals`` of their key. The totals side has one row per value,
     so a hot value skews only the row side, which the adaptive skew join splits."""
     rows, levels = with_levels(df, [key])
-    return rows.join(peer_totals(df, key, measures, group), [*group, levels[1]]).drop(*levels)
+    return rows.join(peer_totals(df, key, measures, group), [*group, levels[-1]]).drop(*levels)
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:

@@ -76,7 +76,7 @@ def carrier_performance_summary_corrected(shipments: DataFrame, cargo: DataFrame
 
 def ranked(report: DataFrame) -> DataFrame:
     """Leaderboard position: 1..n by shipment count, ties by carrier."""
-    return positions(report, [Key("shipment_count", descending=True), Key("carrier_id")], into="volume_rank")
+    return positions(report, [Key("shipment_count", descending=True, sliced=False), Key("carrier_id")], into="volume_rank")
 
 
 def carrier_leaderboard(shipments: DataFrame, cargo: DataFrame, carriers: DataFrame, as_of: str) -> DataFrame:

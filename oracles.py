@@ -212,8 +212,8 @@ sql(
     CAST({draw('gross', 500, 25000, 'shipment_id', 'item')} AS DOUBLE) AS gross_weight_kg,
     CAST({draw('gross', 500, 25000, 'shipment_id', 'item')} * 92 AS DOUBLE) / 100 AS net_weight_kg,
     CAST({draw('volume', 20, 67, 'shipment_id', 'item')} AS DOUBLE) AS volume_cbm, {draw('packages', 10, 500, 'shipment_id', 'item')} AS package_count,
-    'CT' AS package_type, false AS is_hazmat, '' AS un_number
-    FROM (SELECT id AS shipment_id, unnest(range(1, {draw('items', 1, 3, 'id')} + 1)) AS item FROM made)""",
+    'CT' AS package_type, false AS is_hazmat, '' AS un_number,
+    CAST(NULL AS DOUBLE) AS temperature_min_c, CAST(NULL AS DOUBLE) AS temperature_max_c FROM (SELECT id AS shipment_id, unnest(range(1, {draw('items', 1, 3, 'id')} + 1)) AS item FROM made)""",
     GENERATED,
 )
 sql(
