@@ -4,13 +4,14 @@
 carrier sends a third of the fleet to one task when that carrier owns a third of the rows.
 The scan here gives the same answers from bounded pieces:
 
-* every ordering column becomes a non-null sortable value plus a coarser *slice* of it
-  (a timestamp's slice is about a minute, an id's slice 2^26 consecutive ids);
+* every ordering column becomes a non-null sortable value plus one or two coarser *slices* of it
+  (a timestamp's slice is about a minute; a bigint has slices of 2^22 and of 2^44 values);
 * rows are totalled per slice first (partial aggregation, so a hot key costs nothing extra);
 * the scan runs over the slice totals, then inside each slice, each level starting from
   what its parent slice had before it.
 
-So the widest window is one slice, not one key. Nothing is sampled and nothing is collected.
+So the widest window is one slice, not one key: at most 2^22 entries for a bigint or decimal whatever
+its values, one entry per minute at the top of a timestamp. Nothing is sampled and nothing is collected.
 
 The input is read once per level, so it must give the same rows each time: pass a frame with an
 unordered ``limit`` or a random column through ``sources.checkpoints.materialized`` first.
@@ -26,7 +27,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-_SLICE_BITS = 26
 _STRING_SLICE = 3
 _LAST = (1 << 63) - 1
 
@@ -35,14 +35,27 @@ _LAST = (1 << 63) - 1
 class Key:
     """An ordering column. NULLs sort last unless ``nulls_first``; strings sort ascending only.
 
-    ``sliced=False`` saves a level for a number with few distinct values, such as a row count per
-    group: k different counts need at least k * k / 2 rows, so 10^11 rows have under 450 000 of them.
+    ``slices`` overrides the bit widths of its slices, widest first. ``slices=()`` saves a level for a
+    number with few distinct values, such as a row count per group: k different counts need at least
+    k * k / 2 rows, so 10^11 rows have under 450 000 of them.
     """
 
     column: str
     descending: bool = False
     nulls_first: bool = False
-    sliced: bool = True
+    slices: tuple[int, ...] | None = None
+
+
+def _slices(dtype: T.DataType) -> tuple[int, ...]:
+    if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
+        return (26,)
+    if isinstance(dtype, (T.DateType, T.ShortType, T.ByteType)):
+        return ()
+    if isinstance(dtype, T.IntegerType):
+        return (16,)
+    if isinstance(dtype, T.DecimalType) and dtype.precision <= 13:
+        return (22,)
+    return (44, 22)
 
 
 def sortable(dtype: T.DataType, column: Column) -> Column:
@@ -77,12 +90,24 @@ def with_levels(df: DataFrame, keys: list[Key], prefix: str = "_k") -> tuple[Dat
         if key.descending:
             value = F.bitwise_not(value)
         value = F.coalesce(value, F.lit(-_LAST if key.nulls_first else _LAST))
-        if key.sliced:
-            columns[f"{prefix}{n}s"] = F.shiftright(value, _SLICE_BITS)
+        for bits in _slices(dtype) if key.slices is None else key.slices:
+            columns[f"{prefix}{n}s{bits}"] = F.shiftright(value, bits)
         columns[f"{prefix}{n}"] = value
     return df.withColumns(columns), list(columns)
 
 
+def _null_safe(df: DataFrame, group: list[str]) -> tuple[DataFrame, list[str]]:
+    """Group columns that can be joined on even where NULL: a value and a flag for each."""
+    columns: dict[str, Column] = {}
+    for n, name in enumerate(group):
+        dtype = df.schema[name].dataType
+        text = {T.StringType: "", T.DateType: "1970-01-01"}
+        blank = F.lit(text.get(type(dtype), 0)).cast(dtype)
+        columns[f"_g{n}"] = F.coalesce(F.col(name), blank)
+        columns[f"_g{n}null"] = F.col(name).isNull()
+    return df.withColumns(columns) if columns else df, list(columns)
+
+
 def exclusive_scan(
     df: DataFrame,
     group: list[str],
@@ -91,13 +116,13 @@ def exclusive_scan(
     lasts: list[str] = (),
     totals: list[str] = (),
 ) -> DataFrame:
-    """What came before each row, in ``levels`` order within ``group``.
+    """What came before each row, in ``levels`` order within ``group`` (NULL is a group of its own).
 
-    ``df`` has at most one row per (group, levels); ``group`` columns are not NULL.
-    Adds ``before_<c>``: for ``sums`` the total over earlier rows (0 for the first), for ``lasts``
-    the value of the latest earlier row where it is not NULL. ``totals`` (a subset of sums) adds
-    ``total_<c>``, the sum over the whole group.
+    ``df`` has at most one row per (group, levels). Adds ``before_<c>``: for ``sums`` the total over
+    earlier rows (0 for the first), for ``lasts`` the value of the latest earlier row where it is not
+    NULL. ``totals`` (a subset of sums) adds ``total_<c>``, the sum over the whole group.
     """
+    df, group = _null_safe(df, list(group))
     tiers = [df]
     for depth in range(len(levels) - 1, 0, -1):
         edge = F.col(levels[depth])
@@ -128,7 +153,7 @@ def exclusive_scan(
                 | {f"before_{c}": F.coalesce(f"_in_before_{c}", f"before_{c}") for c in lasts}
             ).drop(*[f"_in_{name}" for name in local])
         offsets = scanned.select(*group, *levels[: depth + 1], *carried)
-    return scanned
+    return scanned.drop(*group)
 
 
 def positions(df: DataFrame, keys: list[Key], group: list[str] = (), into: str = "position", total: str | None = None) -> DataFrame:

@@ -66,7 +66,7 @@ def with_moving_avg_value(df: DataFrame, window_days: int | None = None) -> Data
 def with_carrier_rank_by_volume(df: DataFrame) -> DataFrame:
     """Each shipment's carrier's shipment count and the dense rank of that count, largest first."""
     counts = df.groupBy("carrier_id").agg(F.count("*").alias("carrier_shipment_count"))
-    ranks = positions(counts.select("carrier_shipment_count").distinct(), [Key("carrier_shipment_count", descending=True, sliced=False)], into="carrier_volume_rank")
+    ranks = positions(counts.select("carrier_shipment_count").distinct(), [Key("carrier_shipment_count", descending=True, slices=())], into="carrier_volume_rank")
     return df.join(counts.join(ranks, "carrier_shipment_count"), "carrier_id")
 
 

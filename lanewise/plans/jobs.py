@@ -106,16 +106,20 @@ def delay_counts(shipments: DataFrame, events: DataFrame, as_of: str, threshold_
 # carrier messages
 
 
-def match_messages(messages: DataFrame, events: DataFrame, carriers: DataFrame, shipments: DataFrame, now: Column) -> DataFrame:
+def processed_webhooks(events: DataFrame) -> DataFrame:
+    """Webhook ids found in an event log. This parses every payload; a running ingest keeps its own list instead."""
+    return events.select(F.get_json_object("raw_payload", "$.webhook_id").alias("webhook_id")).filter("webhook_id IS NOT NULL")
+
+
+def match_messages(messages: DataFrame, processed: DataFrame, carriers: DataFrame, shipments: DataFrame, now: Column) -> DataFrame:
     """Status of each parsed message: already_processed, carrier_not_found, matched, retry or expired.
 
-    ``messages`` has webhook_id, carrier_code, event_type, shipment_reference, event_timestamp, payload,
+    ``processed`` has the webhook_id of every message handled before. ``messages`` has webhook_id, carrier_code, event_type, shipment_reference, event_timestamp, payload,
     received_at and retries. One message per webhook id is kept, the earliest received. The big tables are
     reduced to the batch's ids first, so the batch is the small side of every join.
     """
     batch = first_per_key(messages, ["webhook_id"], ["received_at", "carrier_code", "shipment_reference"])
-    logged = events.select(F.get_json_object("raw_payload", "$.webhook_id").alias("webhook_id")).filter("webhook_id IS NOT NULL")
-    seen = logged.join(batch.select("webhook_id"), "webhook_id", "left_semi").distinct().withColumn("_seen", F.lit(True))
+    seen = processed.select("webhook_id").join(batch.select("webhook_id"), "webhook_id", "left_semi").distinct().withColumn("_seen", F.lit(True))
     working = carriers.filter("is_active").select("carrier_code", F.col("id").alias("carrier_id"))
     wanted = batch.select(F.col("shipment_reference").alias("tracking_number")).distinct()
     targets = shipments.select("tracking_number", "carrier_id", F.col("id").alias("shipment_id")).join(wanted, "tracking_number", "left_semi")

@@ -779,7 +779,7 @@ def _parsed_messages(b: Bindings) -> DataFrame:
 
 @query
 def j5_match_messages(b):
-    matched = jobs.match_messages(_parsed_messages(b), b.tracking_events, b.carriers, b.shipments, C.instant("2024-01-20 00:00:00"))
+    matched = jobs.match_messages(_parsed_messages(b), jobs.processed_webhooks(b.tracking_events), b.carriers, b.shipments, C.instant("2024-01-20 00:00:00"))
     return matched.select("webhook_id", "carrier_code", "shipment_reference", "shipment_id", "status")
 
 

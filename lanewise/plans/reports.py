@@ -76,7 +76,7 @@ def carrier_performance_summary_corrected(shipments: DataFrame, cargo: DataFrame
 
 def ranked(report: DataFrame) -> DataFrame:
     """Leaderboard position: 1..n by shipment count, ties by carrier."""
-    return positions(report, [Key("shipment_count", descending=True, sliced=False), Key("carrier_id")], into="volume_rank")
+    return positions(report, [Key("shipment_count", descending=True, slices=()), Key("carrier_id")], into="volume_rank")
 
 
 def carrier_leaderboard(shipments: DataFrame, cargo: DataFrame, carriers: DataFrame, as_of: str) -> DataFrame:
@@ -168,7 +168,7 @@ def transit_percentiles(shipments: DataFrame, *carrier_ids) -> DataFrame:
 
 
 def _percentiles(df: DataFrame, group: str, micros: str, wanted: dict[str, float]) -> DataFrame:
-    rows, levels = with_levels(df, [Key(micros)])
+    rows, levels = with_levels(df, [Key(micros, slices=(26,))])
     cells = rows.groupBy(group, *levels).agg(F.count("*").alias("_n"))
     cells = exclusive_scan(cells, [group], levels, sums=["_n"], totals=["_n"])
     picks = []
@@ -251,7 +251,7 @@ def cascades(events: DataFrame, shipments: DataFrame, as_of: str | None, days: i
     is_event = F.col("upto_here.at") == F.col("at")
     broken = F.when(is_event & ~same_run, F.struct(F.col("before_here.at").alias("at")))
     seen = materialized(seen.withColumn("broken", broken).drop("before_here"))
-    turned, levels = with_levels(seen, [Key("at")])
+    turned, levels = with_levels(seen, [Key("at", slices=(26,))])
     turned = exclusive_scan(turned, ["route_id"], levels, lasts=["broken"])
     route = turned.select(
         "route_id", "at", "upto_n", F.col("upto_here.alone").alias("alone"), F.col("upto_here.at").alias("last"), F.coalesce("broken", "before_broken")["at"].alias("other")

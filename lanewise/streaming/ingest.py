@@ -64,37 +64,50 @@ def deduplicated(stream: DataFrame) -> DataFrame:
 
 
 class Ingest:
-    """The stateful half: matches a micro-batch together with the messages still waiting."""
+    """The stateful half: matches a micro-batch together with the messages still waiting.
+
+    The ids it has handled are kept in a sink of their own, one narrow column, so that a batch need not
+    parse the event log. Only sinks of earlier batches are read, which is what makes a replay safe.
+    """
 
     def __init__(self, root: str, tables: Callable[[], tuple[DataFrame, DataFrame, DataFrame]], now: Callable[[], Column] = F.current_timestamp):
-        """``tables`` gives (event log, carriers, shipments) as of the batch; ``now`` is the batch's clock."""
+        """``tables`` gives (webhook ids handled by others, carriers, shipments) as of the batch; ``now`` is its clock."""
         self.root, self.tables, self.now = root.rstrip("/"), tables, now
 
     def _path(self, sink: str, batch: int) -> str:
         return f"{self.root}/{sink}/batch={batch}"
 
+    def _write(self, df: DataFrame, sink: str, batch: int) -> None:
+        df.write.mode("overwrite").parquet(self._path(sink, batch))
+
     def log(self, spark: SparkSession) -> DataFrame:
         return spark.read.parquet(f"{self.root}/events")
 
+    def _handled(self, others: DataFrame, batch: int) -> DataFrame:
+        if not batch:
+            return others.select("webhook_id")
+        own = others.sparkSession.read.schema("webhook_id string, batch long").parquet(f"{self.root}/handled").filter(F.col("batch") < batch)
+        return others.select("webhook_id").unionByName(own.select("webhook_id"))
+
     def _waiting(self, spark: SparkSession, batch: int) -> DataFrame:
         return spark.read.schema(_WAITING).parquet(self._path("waiting", batch - 1)) if batch else spark.createDataFrame([], _WAITING)
 
     def __call__(self, messages: DataFrame, batch: int) -> None:
-        spark = messages.sparkSession
-        events, carriers, shipments = self.tables()
+        others, carriers, shipments = self.tables()
         now = self.now()
         parsed = parse(messages, carriers).persist()
         try:
-            quarantined(parsed).write.mode("overwrite").parquet(self._path("quarantine", batch))
-            waiting = self._waiting(spark, batch)
+            self._write(quarantined(parsed), "quarantine", batch)
+            waiting = self._waiting(messages.sparkSession, batch)
             due = waiting.filter(F.col("next_try_at") <= now).drop("next_try_at")
             later = waiting.filter(F.col("next_try_at") > now)
-            matched = jobs.match_messages(accepted(parsed).unionByName(due), events, carriers, shipments, now).persist()
-            jobs.message_events(matched, now).write.mode("overwrite").parquet(self._path("events", batch))
+            matched = jobs.match_messages(accepted(parsed).unionByName(due), self._handled(others, batch), carriers, shipments, now)
+            matched = matched.persist()
+            self._write(jobs.message_events(matched, now), "events", batch)
+            self._write(matched.filter("status = 'matched'").select("webhook_id"), "handled", batch)
             done = matched.filter("status NOT IN ('matched', 'retry')")
-            done.select("webhook_id", "carrier_code", "shipment_reference", "status").write.mode("overwrite").parquet(self._path("closed", batch))
-            again = jobs.still_waiting(matched, now).unionByName(later)
-            again.write.mode("overwrite").parquet(self._path("waiting", batch))
+            self._write(done.select("webhook_id", "carrier_code", "shipment_reference", "status"), "closed", batch)
+            self._write(jobs.still_waiting(matched, now).unionByName(later), "waiting", batch)
             matched.unpersist()
         finally:
             parsed.unpersist()

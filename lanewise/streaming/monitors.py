@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import timedelta
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -49,14 +50,16 @@ class CascadeMonitor:
         spark = events.sparkSession
         columns = ["shipment_id", "event_time", "is_exception"]
         log = f"{self.root}/exceptions"
-        events.filter("is_exception").select(*columns).write.mode("overwrite").parquet(f"{log}/batch={batch}")
-        fresh = spark.read.parquet(f"{log}/batch={batch}")
-        first = fresh.agg(F.min("event_time")).first()[0]
+        failed = events.filter("is_exception AND event_time IS NOT NULL").select(*columns, F.to_date("event_time").alias("day"))
+        failed.write.mode("overwrite").partitionBy("day").parquet(f"{log}/batch={batch}")
+        schema = failed.schema.add("batch", "long")
+        stored = spark.read.schema(schema).parquet(log).filter(F.col("batch") <= batch)
+        first = stored.filter(F.col("batch") == batch).agg(F.min("event_time")).first()[0]
         if first is None:
             return
-        stored = spark.read.schema(fresh.schema.add("batch", "long")).parquet(log).filter(F.col("batch") <= batch)
-        reach = F.make_dt_interval(hours=F.lit(self.hours))
-        near = stored.filter(F.col("event_time") >= F.lit(first) - reach).select(*columns)
+        since = first - timedelta(hours=self.hours)
+        # whole days are pruned by partition, the rest by time
+        near = stored.filter((F.col("day") >= F.lit(since.date())) & (F.col("event_time") >= F.lit(since))).select(*columns)
         found = cascades(near, self.shipments(), None, 0, self.hours)
         found.write.mode("overwrite").parquet(f"{self.root}/cascades/batch={batch}")
 

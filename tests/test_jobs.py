@@ -71,7 +71,7 @@ def test_message_outcomes(spark, table):
         {"webhook_id": "25h", "shipment_reference": "S9", "received_at": "2024-02-29 11:00:00"},
         {"webhook_id": "late", "retries": 3},
     )
-    matched = jobs.match_messages(batch, log, carriers, shipments, now())
+    matched = jobs.match_messages(batch, jobs.processed_webhooks(log), carriers, shipments, now())
     status = {r["webhook_id"]: r["status"] for r in matched.collect()}
     assert status == {"ok": "matched", "seen": "already_processed", "who": "carrier_not_found", "off": "carrier_not_found", "other": "retry", "23h": "retry", "25h": "expired", "late": "matched"}
     rows = {r["description"]: r for r in jobs.message_events(matched, now()).collect()}
