@@ -27,6 +27,11 @@ def exact(numerator: str, denominator: str, scale: int) -> str:
     return f"(CASE WHEN {denominator} = 0 THEN NULL ELSE CAST(sign({n}) * ((2 * abs({n}) + {d}) // (2 * {d})) AS DOUBLE) / 1e{scale} END)"
 
 
+def rounded(value: str, scale: int) -> str:
+    """A value known to six digits, rounded half up to fewer without passing through a double's tie."""
+    return exact(f"round({value} * 1000000)", str(10 ** (6 - scale)), scale)
+
+
 def money(sum_: str) -> str:
     return f"CAST({sum_} * 100 AS HUGEINT)"
 
@@ -634,7 +639,7 @@ DAILY = f"""SELECT s.carrier_id, CAST(departure_date AS DATE) AS stat_date, coun
     FROM shipments s LEFT JOIN cargo_sum c ON c.shipment_id = s.id LEFT JOIN tracking_events te ON te.shipment_id = s.id WHERE departure_date IS NOT NULL GROUP BY 1, 2"""
 sql(
     "h16_read_carrier_stats",
-    f"""SELECT carrier_id, stat_date, shipment_count, delay_count, round(avg_declared_value, 2) AS avg_declared_value, round(total_weight_kg, 3) AS total_weight_kg, exception_count,
+    f"""SELECT carrier_id, stat_date, shipment_count, delay_count, {rounded('avg_declared_value', 2)} AS avg_declared_value, round(total_weight_kg, 3) AS total_weight_kg, exception_count,
     {exact('delay_count * 10000', 'shipment_count', 2)} AS delay_rate_pct FROM ({DAILY}) WHERE carrier_id = 7 AND stat_date BETWEEN DATE '1996-01-01' AND DATE '1998-12-31' ORDER BY stat_date""",
 )
 CONGESTION = f"""SELECT pc.port_id, CAST(date_trunc('week', scheduled_arrival) AS DATE) AS stat_week, count(pc.id) AS arrival_count,
@@ -642,7 +647,7 @@ CONGESTION = f"""SELECT pc.port_id, CAST(date_trunc('week', scheduled_arrival) A
     {exact('count(te.id) FILTER (WHERE te.is_exception) * 100000000', 'count(te.id)', 6)} AS exception_rate_pct
     FROM port_calls pc LEFT JOIN tracking_events te ON te.port_id = pc.port_id
       AND te.event_time BETWEEN scheduled_arrival - INTERVAL 2 DAY AND scheduled_arrival + INTERVAL 2 DAY WHERE scheduled_arrival IS NOT NULL GROUP BY 1, 2"""
-READ_CONGESTION = f"""SELECT port_id, stat_week, arrival_count, round(avg_delay_hours, 2) AS avg_delay_hours, round(exception_rate_pct, 2) AS exception_rate_pct
+READ_CONGESTION = f"""SELECT port_id, stat_week, arrival_count, {rounded('avg_delay_hours', 2)} AS avg_delay_hours, {rounded('exception_rate_pct', 2)} AS exception_rate_pct
     FROM ({CONGESTION}) WHERE stat_week >= date_trunc('week', {AS_OF_EVENTS} - INTERVAL 28 DAY)"""
 sql("h17_read_port_congestion", f"{READ_CONGESTION} ORDER BY avg_delay_hours DESC NULLS LAST, port_id, stat_week LIMIT 20")
 sql("h17_read_port_congestion_one_port", f"{READ_CONGESTION} AND port_id = 8 ORDER BY stat_week DESC")
