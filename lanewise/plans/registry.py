@@ -824,11 +824,25 @@ def j8_current_events(b):
 # streaming operators in batch form, and pages
 
 
+@query
+def k1_ingested_events(b):
+    now = C.instant(AS_OF_EVENTS)
+    taken = ingest.accepted(ingest.parse(_messages(b), b.carriers))
+    matched = jobs.match_messages(taken, jobs.processed_webhooks(b.tracking_events), b.carriers, b.shipments, now)
+    return jobs.message_events(matched, now).select("shipment_id", "event_type", "event_time", "recorded_at", "description", "source_system")
+
+
 @query
 def k2_exception_windows_by_port(b):
     return monitors.exception_windows(b.tracking_events, "port_id", "1 day")
 
 
+@query
+def k2_exception_windows_by_carrier(b):
+    owned = b.tracking_events.join(b.shipments.select(F.col("id").alias("shipment_id"), "carrier_id"), "shipment_id")
+    return monitors.exception_windows(owned, "carrier_id", "7 days", monitors.MONDAY)
+
+
 @query
 def k4_late_events(b):
     in_time, late = monitors.split_late(b.tracking_events, 24)

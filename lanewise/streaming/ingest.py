@@ -115,5 +115,5 @@ class Ingest:
 
 def start(messages: DataFrame, ingest: Ingest, checkpoint: str, **trigger) -> StreamingQuery:
     """Run the ingest over a stream of raw messages."""
-    writer = messages.withWatermark("received_at", "24 hours").writeStream.foreachBatch(ingest).option("checkpointLocation", checkpoint)
+    writer = messages.writeStream.foreachBatch(ingest).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()

@@ -12,12 +12,16 @@ from pyspark.sql.streaming import StreamingQuery
 from lanewise.plans.reports import cascades
 
 
-def exception_windows(events: DataFrame, by: str, width: str = "1 day", delay: str = "2 days") -> DataFrame:
+MONDAY = "4 days"  # from 1970-01-01, a Thursday, to the first Monday
+
+
+def exception_windows(events: DataFrame, by: str, width: str = "1 day", start: str = "0 days", delay: str = "2 days") -> DataFrame:
     """Events and exceptions per window of event time and per ``by`` (a carrier or port column).
 
-    On a stream, a window is emitted once the watermark has passed it.
+    Seven-day windows with ``start=MONDAY`` are ISO weeks. On a stream, a window is emitted once the
+    watermark has passed it.
     """
-    grouped = events.withWatermark("event_time", delay).groupBy(F.window("event_time", width), by)
+    grouped = events.withWatermark("event_time", delay).groupBy(F.window("event_time", width, width, start), by)
     return grouped.agg(F.count("*").alias("total_events"), F.count_if("is_exception").alias("exception_count")).select(
         by, F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), "total_events", "exception_count"
     )

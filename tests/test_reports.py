@@ -116,6 +116,17 @@ def test_cascades_match_the_pairs(spark, table, seed):
     assert found == _cascade(events, lanes)
 
 
+def test_hot_route_is_linear(spark):
+    """20 000 shipments fail one second apart on one route: 2 * 10^8 pairs, none of them built."""
+    n = 20_000
+    shipments = spark.range(n).select("id", F.lit(1).alias("route_id"))
+    events = spark.range(n).select(F.col("id").alias("shipment_id"), F.lit(True).alias("is_exception"), F.timestamp_seconds(F.col("id") + 1_700_000_000).alias("event_time"))
+    found = reports.cascades(events, shipments, None, 0, 48)
+    last = F.timestamp_seconds(F.lit(1_700_000_000 + n - 1))
+    row = found.agg(F.sum("cascade_exception_count").alias("pairs"), F.count("*").alias("n"), F.count_if(F.col("last_cascade_time") == last).alias("to_the_end")).first()
+    assert tuple(row) == (n * (n - 1) // 2, n - 1, n - 1)
+
+
 def test_cascade_edges(table):
     shipments = table("shipments", {"id": "a"}, {"id": "b"}, {"id": "c"})
     at = {"a": ["2024-02-10 00:00:00"], "b": ["2024-02-10 00:00:00", "2024-02-12 00:00:00"], "c": ["2024-02-12 00:00:01", "2024-02-11 00:00:00"]}
