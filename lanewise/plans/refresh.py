@@ -58,12 +58,19 @@ def refresh_views(spark: SparkSession, root: str, tables: Freight, as_of: str, v
 
 
 def refresh_carrier_days(spark: SparkSession, root: str, tables: Freight, as_of: str, touched: DataFrame) -> dict:
-    """Rebuild only the (carrier_id, stat_date) keys in ``touched`` and carry the rest over."""
-    dated = tables.shipments.withColumn("stat_date", F.to_date("departure_date"))
+    """Rebuild only the (carrier_id, stat_date) keys in ``touched`` and carry the rest over.
+
+    Cargo and events are cut to the touched shipments before they are totalled. A touched key that has no
+    shipments left disappears.
+    """
     keys = touched.select("carrier_id", "stat_date").distinct()
+    dated = tables.shipments.withColumn("stat_date", F.to_date("departure_date"))
     part = dated.join(keys, ["carrier_id", "stat_date"], "left_semi").drop("stat_date")
-    fresh = matviews.carrier_daily_stats(part, tables.cargo, tables.tracking_events, as_of)
-    return view_table(spark, root, "mv_carrier_daily_stats").publish_touched(fresh)
+    ids = part.select(F.col("id").alias("shipment_id"))
+    cargo = tables.cargo.join(ids, "shipment_id", "left_semi")
+    events = tables.tracking_events.join(ids, "shipment_id", "left_semi")
+    fresh = matviews.carrier_daily_stats(part, cargo, events, as_of)
+    return view_table(spark, root, "mv_carrier_daily_stats").publish_touched(fresh, keys)
 
 
 def populate_snapshots(spark: SparkSession, root: str, tables: Freight, as_of: str, day: str | None = None, entity_type: str = "ALL") -> dict:

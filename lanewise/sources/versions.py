@@ -62,16 +62,18 @@ class VersionedTable:
         fs.create(marker, False).close()
         return {"version": version, "rows": seen.get["rows"]}
 
-    def publish_touched(self, fresh: DataFrame) -> dict:
-        """Publish a version where ``fresh`` rows replace stored rows of the same key (NULL equals NULL)."""
+    def publish_touched(self, fresh: DataFrame, touched: DataFrame | None = None) -> dict:
+        """Publish a version where ``fresh`` rows replace stored rows of the same key (NULL equals NULL).
+
+        With ``touched`` (key columns), stored rows of those keys go even if ``fresh`` has none for them.
+        """
         if self.current() is None:
             return self.publish(fresh)
-        return self.publish(replaced(self.read(), fresh, self.key))
+        return self.publish(replaced(self.read(), fresh, self.key, touched))
 
 
-def replaced(stored: DataFrame, fresh: DataFrame, key: list[str]) -> DataFrame:
-    """Stored rows with ``fresh`` rows in place of those sharing a key; keys compare null-safe."""
-    new = fresh.select(*[F.col(k).alias(f"_new_{k}") for k in key])
-    same = [F.col(k).eqNullSafe(F.col(f"_new_{k}")) for k in key]
-    kept = stored.join(new, same, "left_anti")
+def replaced(stored: DataFrame, fresh: DataFrame, key: list[str], touched: DataFrame | None = None) -> DataFrame:
+    """Stored rows with ``fresh`` rows in place of those whose key is touched (default: in ``fresh``); null-safe."""
+    gone = (fresh if touched is None else touched).select(*[F.col(k).alias(f"_gone_{k}") for k in key])
+    kept = stored.join(gone, [F.col(k).eqNullSafe(F.col(f"_gone_{k}")) for k in key], "left_anti")
     return kept.unionByName(fresh.select(*stored.columns))

@@ -175,8 +175,9 @@ def test_refresh_by_name_and_all(spark, freight, tmp_path):
 def test_touched_days_only(spark, table, freight, tmp_path):
     root = str(tmp_path)
     refresh_views(spark, root, freight, AS_OF, "mv_carrier_daily_stats")
-    more = table("shipments", {"departure_date": "2024-02-29 01:00:00"}, {"departure_date": "2024-02-28"}, {"departure_date": "2024-02-28 05:00:00"})
-    touched = spark.sql("select 'ca1' as carrier_id, date'2024-02-28' as stat_date")
+    # the second shipment moves to another day and a third one is new
+    more = table("shipments", {"departure_date": "2024-02-29 01:00:00"}, {"departure_date": "2024-02-27"}, {"departure_date": "2024-02-27 05:00:00"})
+    touched = spark.sql("select 'ca1' as carrier_id, explode(array(date'2024-02-27', date'2024-02-28')) as stat_date")
     later = Freight(more, freight.cargo, freight.tracking_events, freight.port_calls, freight.carriers, freight.routes)
     refresh_carrier_days(spark, root, later, AS_OF, touched)
     part = view_table(spark, root, "mv_carrier_daily_stats").read().orderBy("stat_date").collect()
