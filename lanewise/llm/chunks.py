@@ -29,7 +29,7 @@ def chunked(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", most: i
     """Chunks of about ``most`` bytes, written to the shared folder; a longer text is a chunk of its own. Null texts are empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 32
+        number = TaskContext.get().partitionId() << 24
         for batch in batches:
             at = 0
             for part in textblocks.slices(batch.column("body"), most):
@@ -101,3 +101,13 @@ def answer_of(batch: pa.RecordBatch, row: int, column: str = "answers") -> list[
     """The answers of one chunk, in bucket order."""
     found = batch.column(column)[row]
     return [x["answer"].as_buffer() for x in found.values] if found.is_valid else []
+
+
+def planes(keys: np.ndarray) -> bytes:
+    """Sorted 64-bit keys byte by byte, highest first: leading bytes repeat and compress."""
+    return np.ascontiguousarray(keys.astype(">u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def from_planes(data: bytes) -> np.ndarray:
+    view = np.frombuffer(data, np.uint8)
+    return np.ascontiguousarray(view.reshape(8, len(view) // 8).T).view(">u8").ravel().astype(np.uint64)
