@@ -91,9 +91,9 @@ def answered(messages: DataFrame, answer: Callable[[list[bytes]], list[bytes]])
     return messages.groupBy("bucket").applyInArrow(run, ANSWERS)
 
 
-def with_answers(chunks: DataFrame, answers: DataFrame) -> DataFrame:
-    """Chunks with ``answers``, an array of ``(bucket, answer)`` in bucket order: as many as a chunk asked, of its own size."""
-    own = answers.groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("bucket", "answer"))).alias("answers"))
+def with_answers(chunks: DataFrame, answers: DataFrame, column: str = "answers") -> DataFrame:
+    """Chunks with their answers, an array of ``(bucket, answer)`` in bucket order: as many as a chunk asked, of its own size."""
+    own = answers.groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("bucket", "answer"))).alias(column))
     return chunks.join(own, "chunk", "left")
 
 

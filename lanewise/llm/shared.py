@@ -27,11 +27,20 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/llm-{uuid.uuid4().hex}"
 
 
+#: Spark then deletes the shuffle files of a write when the write has ended, not when the driver collects garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, folder: str | None = None) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read back: what follows starts there, also after a lost executor."""
     spark = df.sparkSession
     path = folder or shared_folder(spark)
-    df.write.mode("overwrite").parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.mode("overwrite").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
     return spark.read.schema(df.schema).parquet(path)
 
 
