@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lanewise.llm.shared import ascii_lower, stored, whole_text
+from lanewise.llm.shared import ascii_lower, stored, unused, whole_text
 
 WINDOW = 13
 #: Separators; letters, digits and everything outside ASCII are words.
@@ -72,7 +72,7 @@ def occurrences(docs: DataFrame, windows: DataFrame, most_broadcast: int = MOST_
     return found.select("doc_id", "version", start.alias("start"), F.size("window").alias("length"), "window_id")
 
 
-def decontamination(docs: DataFrame, items: DataFrame, text: str = "text", doc_id: str = "doc_id", item_id: str = "item_id", window: int = WINDOW, share: int = 20, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
+def decontamination(docs: DataFrame, items: DataFrame, text: str = "text", doc_id: str = "doc_id", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, share: int = 20, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, n_words, n_hit, n_items, items_sha256, contaminated``.
 
     A word inside any occurrence of a window is hit; ``contaminated`` if any is and ``share * n_hit >= n_words``.
@@ -83,7 +83,7 @@ def decontamination(docs: DataFrame, items: DataFrame, text: str = "text", doc_i
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), whole_text(text).alias("body"))
     worded = rows.select("doc_id", F.xxhash64("body").alias("version"), words_of(F.col("body")).alias("words"))
-    windows, owners = _numbered(windows_of(items, item_id, text, window))
+    windows, owners = _numbered(windows_of(items, item_id, item_text, window))
     found = stored(occurrences(worded, windows, most_broadcast).distinct())
     places = found.select("doc_id", "version", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("length") - 1)).alias("word_at")).distinct()
     hit = places.groupBy("doc_id", "version").agg(F.count(F.lit(1)).alias("n_hit"))
@@ -102,13 +102,15 @@ def decontamination(docs: DataFrame, items: DataFrame, text: str = "text", doc_i
     )
 
 
-def clean_documents(docs: DataFrame, items: DataFrame, text: str = "text", doc_id: str = "doc_id", **settings) -> DataFrame:
+def clean_documents(docs: DataFrame, items: DataFrame, text: str = "text", doc_id: str = "doc_id", item_text: str = "text", **settings) -> DataFrame:
     """The rows of ``docs`` that are not contaminated, with all their columns; nulls and ties as in :func:`decontamination`."""
-    tagged = docs.withColumn("__version", F.xxhash64(whole_text(text)))
-    keyed = tagged.select(F.struct(F.col(doc_id).alias("id"), "__version").alias("row"), F.col(text).alias("text"))
-    bad = decontamination(keyed, items.withColumnRenamed(text, "text"), text="text", doc_id="row", **settings).filter("contaminated").select("doc_id").distinct()
-    same = tagged[doc_id].eqNullSafe(bad["doc_id.id"]) & (tagged["__version"] == bad["doc_id.__version"])
-    return tagged.join(bad, same, "left_anti").drop("__version")
+    version = unused(docs, "version")
+    tagged = docs.withColumn(version, F.xxhash64(whole_text(text)))
+    keyed = tagged.select(F.struct(F.col(doc_id).alias("id"), F.col(version).alias("version")).alias("row"), F.col(text).alias("text"))
+    found = decontamination(keyed, items, item_text=item_text, doc_id="row", **settings).filter("contaminated").select("doc_id").distinct()
+    bad = found.select(F.col("doc_id.id").alias(unused(tagged, "id")), F.col("doc_id.version").alias(unused(tagged, "of")))
+    same = F.col(doc_id).eqNullSafe(F.col(bad.columns[0])) & (F.col(version) == F.col(bad.columns[1]))
+    return tagged.join(bad, same, "left_anti").drop(version)
 
 
 SQL = r"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lanewise.llm.shared import SPACED_WORD, stored
+from lanewise.llm.shared import SPACED_WORD, stored, unused
 
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (3, 1, 2)
@@ -79,10 +79,11 @@ def mixed(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: s
     Nulls, ties and empty input as in :func:`mix_plan`.
     """
     sizes = stored(docs.select(F.col(source).alias("source"), words_of(text).alias("size")))
-    targets = stored(source_targets(sizes, **settings).select(F.col("source").alias("__of"), F.col("rate").alias("__rate")))
-    joined = docs.join(targets, docs[source].eqNullSafe(targets["__of"]))
-    often = joined.withColumn("__copies", copies(F.col("__rate"), docs[doc_id], seed)).filter("__copies > 0")
-    return often.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*[docs[c] for c in docs.columns])
+    often, of, rate = (unused(docs, n) for n in ("copies", "of", "rate"))
+    targets = stored(source_targets(sizes, **settings).select(F.col("source").alias(of), F.col("rate").alias(rate)))
+    joined = docs.join(targets, F.col(source).eqNullSafe(F.col(of))).withColumn(often, copies(F.col(rate), F.col(doc_id), seed)).drop(of, rate)
+    # A sequence of one number for each copy.
+    return joined.filter(F.col(often) > 0).withColumn(often, F.explode(F.sequence(F.lit(1), F.col(often)))).drop(often)
 
 
 SQL = """

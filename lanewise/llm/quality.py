@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from lanewise.llm import textblocks
-from lanewise.llm.shared import remainder, stored, whole_text
+from lanewise.llm.shared import remainder, stored, unused, whole_text
 
 #: Weights; the last one is the bias.
 SIZE = 1 << 17
@@ -168,4 +168,5 @@ def quality_scores(docs: DataFrame, labels: DataFrame, text: str = "text", doc_i
 def good_documents(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` that the classifier, fitted as in :func:`quality_scores`, does not reject, with all their columns."""
     weights = fit(docs, labels.filter(remainder(doc_id, 4) != 2), text=text, doc_id=doc_id)
-    return with_scores(docs, weights, text, "__score").filter(F.col("__score") >= THRESHOLD).drop("__score")
+    score = unused(docs, "score")
+    return with_scores(docs, weights, text, score).filter(F.col(score) >= THRESHOLD).drop(score)

@@ -31,16 +31,25 @@ def shared_folder(spark: SparkSession) -> str:
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def stored(df: DataFrame, folder: str | None = None) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read back: what follows starts there, also after a lost executor."""
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def stored(df: DataFrame, folder: str | None = None, batch_rows: int | None = None) -> DataFrame:
+    """``df`` written as Parquet to the shared folder and read back: what follows starts there, also after a lost executor.
+
+    ``batch_rows``: rows that a Python worker gets at once while writing, for rows that are large.
+    """
     spark = df.sparkSession
     path = folder or shared_folder(spark)
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
+    settings = {CLEANUP: "true"} | ({BATCH_ROWS: str(batch_rows)} if batch_rows else {})
+    before = {name: spark.conf.get(name, None) for name in settings}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
     try:
         df.write.mode("overwrite").parquet(path)
     finally:
-        spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
+        for name, value in before.items():
+            spark.conf.set(name, value) if value is not None else spark.conf.unset(name)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -49,6 +58,14 @@ def whole_text(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def ascii_lower(column: Column) -> Column:
     """A-Z to a-z and nothing else (``lower`` would also fold other alphabets)."""
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
