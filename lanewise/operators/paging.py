@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lanewise.functions.columns import instant
+from lanewise.operators.filters import check_range
 
 PAGE_SIZE = 50
 MAX_PAGE_SIZE = 200
@@ -22,8 +23,11 @@ class Cursor:
 
 
 def page(df: DataFrame, after: Cursor | None = None, size: int = PAGE_SIZE) -> DataFrame:
-    """Latest departures first, NULL departures first of all (as the stored order has it), ties by id."""
-    size = max(1, min(size, MAX_PAGE_SIZE))
+    """Latest departures first, NULL departures first of all (as the stored order has it), ties by id.
+
+    A page has 1 to ``MAX_PAGE_SIZE`` rows; another size is refused.
+    """
+    check_range("size", size, 1, MAX_PAGE_SIZE)
     at = F.col("departure_date")
     if after is not None:
         if after.departure_date is None:

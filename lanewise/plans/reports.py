@@ -10,6 +10,7 @@ from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from lanewise.functions import columns as C
 from lanewise.operators import filters, joins
@@ -158,13 +159,18 @@ def transit_percentiles(shipments: DataFrame, *carrier_ids) -> DataFrame:
 
     Linear interpolation between neighbours. Equal durations are counted first and located by a bounded
     scan, so one carrier with a third of the fleet does not gather its durations in one task. A
-    percentile of exactly 0 days shows as NULL, as the published report does.
+    percentile of exactly 0 days shows as NULL, as the published report does. Carriers asked for by id always have a row, without
+    deliveries one of NULL, NULL and 0.
     """
     done = shipments.filter("status = 'DELIVERED' AND actual_arrival IS NOT NULL AND departure_date IS NOT NULL")
     if carrier_ids:
         done = done.filter(F.col("carrier_id").isin(*carrier_ids))
     timed = done.select("carrier_id", C.elapsed_micros(F.col("actual_arrival"), F.col("departure_date")).alias("_micros"))
-    return _percentiles(timed, "carrier_id", "_micros", {"median_days": 0.5, "p95_days": 0.95})
+    found = _percentiles(timed, "carrier_id", "_micros", {"median_days": 0.5, "p95_days": 0.95})
+    if not carrier_ids:
+        return found
+    named = shipments.sparkSession.createDataFrame([(c,) for c in dict.fromkeys(carrier_ids)], StructType([shipments.schema["carrier_id"]]))
+    return named.join(found, "carrier_id", "left").withColumn("sample_size", F.coalesce("sample_size", F.lit(0)))
 
 
 def _percentiles(df: DataFrame, group: str, micros: str, wanted: dict[str, float]) -> DataFrame:
@@ -223,9 +229,22 @@ def exception_cascades(events: DataFrame, shipments: DataFrame, as_of: str, days
 
 
 def cascades(events: DataFrame, shipments: DataFrame, as_of: str | None, days: int, hours: int) -> DataFrame:
-    """Per shipment (first exceptions of the last ``days`` days, or of any time without ``as_of``): how many
-    (own exception, later exception of another shipment) pairs fall in the window, the first own exception
-    with one, and the last of the others.
+    """:func:`cascade_sources` totalled per shipment: pairs, the first own exception with one, the last of the others."""
+    return cascade_totals(cascade_sources(events, shipments, as_of, days, hours))
+
+
+def cascade_totals(sources: DataFrame) -> DataFrame:
+    return sources.groupBy("shipment_id", "route_id").agg(
+        F.sum("pairs").alias("cascade_exception_count"),
+        F.timestamp_micros(F.min("at")).alias("first_exception_time"),
+        F.timestamp_micros(F.max("seen")).alias("last_cascade_time"),
+    )
+
+
+def cascade_sources(events: DataFrame, shipments: DataFrame, as_of: str | None, days: int, hours: int) -> DataFrame:
+    """Per shipment and instant ``at`` of own exceptions (of the last ``days`` days, or of any time without ``as_of``): how many
+    (own exception, later exception of another shipment) pairs fall in the window, and the last of the others (``seen``).
+    Instants without a pair have no row. Times are microseconds.
 
     No pair is built. Later exceptions on a route are a difference of two running counts; those of the
     shipment itself are a difference of two more. For the last exception of *another* shipment, each instant
@@ -270,16 +289,8 @@ def cascades(events: DataFrame, shipments: DataFrame, as_of: str | None, days: i
     )
     others = (F.col("route_to") - F.col("route_from")) - (F.col("own_to") - F.col("own_from"))
     seen_last = F.when(F.col("alone") == F.col("shipment_id"), F.col("other")).otherwise(F.col("last"))
-    return (
-        probed.withColumns({"others": others, "seen": seen_last})
-        .filter("others > 0")
-        .groupBy("shipment_id", "route_id")
-        .agg(
-            F.sum(F.col("n") * F.col("others")).alias("cascade_exception_count"),
-            F.timestamp_micros(F.min("at")).alias("first_exception_time"),
-            F.timestamp_micros(F.max("seen")).alias("last_cascade_time"),
-        )
-    )
+    found = probed.withColumns({"others": others, "seen": seen_last}).filter("others > 0")
+    return found.select("shipment_id", "route_id", "at", (F.col("n") * F.col("others")).alias("pairs"), "seen")
 
 
 def read_carrier_stats(stats: DataFrame, carrier_id, start: str, end: str) -> DataFrame:
@@ -297,8 +308,8 @@ def read_carrier_stats(stats: DataFrame, carrier_id, start: str, end: str) -> Da
     ).orderBy("stat_date")
 
 
-def read_port_congestion(congestion: DataFrame, as_of: str, port_id=None, weeks: int = 4) -> DataFrame:
-    """The last weeks of one port, newest first; or the 20 worst delays over all ports."""
+def read_port_congestion(congestion: DataFrame, as_of: str, port_id=None, weeks: int = 4, worst: int = 20) -> DataFrame:
+    """The last weeks of one port, newest first; or the ``worst`` delays over all ports."""
     since = F.to_date(F.date_trunc("week", C.instant(as_of) - F.make_dt_interval(days=F.lit(7 * weeks))))
     recent = congestion.filter(F.col("stat_week") >= since)
     shown = recent.select(
@@ -310,4 +321,4 @@ def read_port_congestion(congestion: DataFrame, as_of: str, port_id=None, weeks:
     )
     if port_id is not None:
         return shown.filter(F.col("port_id") == F.lit(port_id)).orderBy(F.desc("stat_week"))
-    return shown.orderBy(F.desc_nulls_last("avg_delay_hours"), "port_id", "stat_week").limit(20)
+    return shown.orderBy(F.desc_nulls_last("avg_delay_hours"), "port_id", "stat_week").limit(worst)

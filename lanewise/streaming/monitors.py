@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import timedelta
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from lanewise.plans.reports import cascades
-
+from lanewise.plans.reports import cascade_sources, cascade_totals
+from lanewise.sources.folders import subfolders
 
 MONDAY = "4 days"  # from 1970-01-01, a Thursday, to the first Monday
 
@@ -42,30 +41,62 @@ def split_late(events: DataFrame, allowed_hours: int) -> tuple[DataFrame, DataFr
 class CascadeMonitor:
     """Cascades over a stream of events.
 
-    A new exception can extend only cascades begun in the ``hours`` before it, so each micro-batch
-    recomputes the sources from its earliest event minus that window, from the exception log, without
-    building event pairs. Output is one directory per batch: the figures of every source in reach.
+    A new exception can change only the pairs of own exceptions in the ``hours`` before it, and begins pairs of its own with those
+    in the ``hours`` after it. So a micro-batch counts anew the own exceptions of the days in that reach, each
+    with all later ones in its window, from the exception log's days around them; nothing else is read, however long the log.
+    Output is a row per (shipment, own exception instant); of several batches' rows for one, the last counts
+    (``latest``), so totals over any stretch are those of the batch report. Days are UTC and are found in Spark.
     """
 
     def __init__(self, root: str, shipments: Callable[[], DataFrame], hours: int = 48):
         self.root, self.shipments, self.hours = root.rstrip("/"), shipments, hours
 
+    def _replace(self, df: DataFrame, sink: str, batch: int) -> None:
+        """Write rows with a ``day`` under day and batch; a replayed batch replaces its own."""
+        rows = df.withColumn("batch", F.lit(batch).cast("long"))
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "batch").parquet(f"{self.root}/{sink}")
+
+    def _days(self, spark: SparkSession, sink: str, schema: str, days: set[int]) -> DataFrame:
+        folder = f"{self.root}/{sink}"
+        there = [d for d in subfolders(spark, folder) if int(d.removeprefix("day=")) in days]
+        read = spark.read.option("basePath", folder).schema(schema)
+        return read.parquet(*[f"{folder}/{d}" for d in there]) if there else spark.createDataFrame([], schema)
+
     def __call__(self, events: DataFrame, batch: int) -> None:
-        spark = events.sparkSession
-        columns = ["shipment_id", "event_time", "is_exception"]
-        log = f"{self.root}/exceptions"
-        failed = events.filter("is_exception AND event_time IS NOT NULL").select(*columns, F.to_date("event_time").alias("day"))
-        failed.write.mode("overwrite").partitionBy("day").parquet(f"{log}/batch={batch}")
-        schema = failed.schema.add("batch", "long")
-        stored = spark.read.schema(schema).parquet(log).filter(F.col("batch") <= batch)
-        first = stored.filter(F.col("batch") == batch).agg(F.min("event_time")).first()[0]
-        if first is None:
+        spark, reach = events.sparkSession, -(-self.hours // 24)
+        failed = events.filter("is_exception AND event_time IS NOT NULL").select("shipment_id", "event_time", "is_exception", day_of(F.col("event_time")).alias("day"))
+        self._replace(failed, "exceptions", batch)
+        days = {r["day"] for r in failed.select("day").distinct().collect()}  # one number a day
+        if not days:
             return
-        since = first - timedelta(hours=self.hours)
-        # whole days are pruned by partition, the rest by time
-        near = stored.filter((F.col("day") >= F.lit(since.date())) & (F.col("event_time") >= F.lit(since))).select(*columns)
-        found = cascades(near, self.shipments(), None, 0, self.hours)
-        found.write.mode("overwrite").parquet(f"{self.root}/cascades/batch={batch}")
+        own = {d - k for d in days for k in range(reach + 1)}
+        near = {d + k for d in own for k in range(reach + 1)}
+        schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in failed.schema) + ", batch long"
+        log = self._days(spark, "exceptions", schema, near).filter(F.col("batch") <= batch)
+        counted = cascade_sources(log.select("shipment_id", "event_time", "is_exception"), self.shipments(), None, 0, self.hours)
+        counted = counted.withColumn("day", day_of(F.timestamp_micros("at"))).filter(F.col("day").isin(*own))
+        self._replace(counted, "sources", batch)
+
+    def latest(self, spark: SparkSession) -> DataFrame:
+        """The pairs of each shipment and own exception instant, as the last batch that reached it counted them."""
+        rows = spark.read.parquet(f"{self.root}/sources")
+        return latest_sources(rows)
+
+    def totals(self, spark: SparkSession) -> DataFrame:
+        """The cascades of all exceptions so far, equal to ``reports.cascades`` over them."""
+        return cascade_totals(self.latest(spark))
+
+
+def day_of(instant: Column) -> Column:
+    """The UTC day's number, whatever the session's or the driver's time zone."""
+    return F.floor(F.unix_micros(instant) / F.lit(86_400_000_000)).cast("int")
+
+
+def latest_sources(rows: DataFrame) -> DataFrame:
+    """Of the rows of one shipment and instant, that of the last batch."""
+    values = F.struct("pairs", "seen")
+    found = rows.groupBy("shipment_id", "route_id", "at").agg(F.max_by(values, "batch").alias("last"))
+    return found.select("shipment_id", "route_id", "at", "last.pairs", "last.seen")
 
 
 def start(events: DataFrame, handler: Callable[[DataFrame, int], None], checkpoint: str, **trigger) -> StreamingQuery:

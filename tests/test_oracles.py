@@ -8,9 +8,11 @@ import pytest
 from compare import differences, engine
 
 import __spark_entry__ as entry
+import oracles
+from lanewise.plans.registry import registered
 
 DIRECTORY = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
-QUERIES, STATEMENTS = entry.queries(), entry.oracle_sql()
+QUERIES, STATEMENTS = registered(), oracles.statements()
 
 
 @pytest.fixture(scope="module")
@@ -20,6 +22,7 @@ def con():
 
 def test_every_query_has_sql():
     assert set(QUERIES) == set(STATEMENTS)
+    assert set(QUERIES) <= set(entry.queries()) and set(STATEMENTS) <= set(entry.oracle_sql())
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))

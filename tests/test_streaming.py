@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+import time
 from datetime import datetime
 
 import pytest
@@ -46,13 +47,15 @@ def test_parse_reasons(spark, carriers):
         message(body("notime", event_timestamp="soon")),
         message(body("nokey"), carrier="C2"),
         message(body("off"), carrier="C3"),
+        message(body("   ")),
+        message(body(" padded ", " S1\n")),
     ]
     parsed = ingest.parse(spark.createDataFrame(rows, MESSAGE), carriers)
     got = {bytes(r["raw_body"]): r["reason"] for r in parsed.collect()}
-    want = [None, *["bad_signature"] * 4, *["malformed"] * 4, "no_secret", "unknown_carrier"]
+    want = [None, *["bad_signature"] * 4, *["malformed"] * 4, "no_secret", "unknown_carrier", "malformed", None]
     assert got == dict(zip([r[1] for r in rows], want))
-    assert [r["webhook_id"] for r in ingest.accepted(parsed).collect()] == ["ok"]
-    assert ingest.quarantined(parsed).count() == 10
+    assert sorted((r["webhook_id"], r["shipment_reference"]) for r in ingest.accepted(parsed).collect()) == [("ok", "S1"), ("padded", "S1")]
+    assert ingest.quarantined(parsed).count() == 11
 
 
 def _feed(spark, path, *rows):
@@ -101,6 +104,40 @@ def test_messages_wait_match_once_and_expire(spark, table, carriers, tmp_path):
     assert spark.read.parquet(f"{root}/waiting/batch=3").count() == 0 and handler.log(spark).count() == 2
 
 
+def test_no_message_is_lost_on_the_default_clock(spark, table, carriers, tmp_path):
+    """Waiting messages that fall due while a batch runs are in exactly one sink."""
+    root, others = str(tmp_path / "out"), spark.createDataFrame([], "webhook_id string")
+    handler = ingest.Ingest(root, lambda: (others, carriers, table("shipments", {"carrier_id": "ca1"})))
+    now = datetime.now()
+    fresh = [message(body(f"m{k}", "NEVER" if k % 3 else "S1"), at=str(now)) for k in range(60)]
+    handler(spark.createDataFrame(fresh, MESSAGE), 0)
+    waiting = spark.read.parquet(f"{root}/waiting/batch=0")
+    spread = waiting.withColumn("next_try_at", F.current_timestamp() + F.make_dt_interval(secs=F.pmod(F.xxhash64("webhook_id"), F.lit(8000)) / 1000))
+    kept = spread.collect()
+    spark.createDataFrame(kept, spread.schema).write.mode("overwrite").parquet(f"{root}/waiting/batch=0")
+    handler(spark.createDataFrame([message(body("late"), at=str(now))], MESSAGE), 1)
+    after = [r["webhook_id"] for r in spark.read.parquet(f"{root}/waiting/batch=1").collect()]
+    assert sorted(after) == sorted(f"m{k}" for k in range(60) if k % 3)
+    events = spark.read.parquet(f"{root}/events")
+    assert events.count() == 21 == events.select("id").distinct().count()
+    again = sorted(map(str, spark.read.parquet(f"{root}/waiting/batch=1").collect()))
+    handler(spark.createDataFrame([message(body("late"), at=str(now))], MESSAGE), 1)  # a replay has the same instant
+    assert sorted(map(str, spark.read.parquet(f"{root}/waiting/batch=1").collect())) == again
+
+
+def test_new_checkpoint_does_not_replace_old_batches(spark, table, carriers, tmp_path):
+    feed, root = str(tmp_path / "in"), str(tmp_path / "out")
+    _feed(spark, feed, message(body("a")))
+    tables = lambda: (spark.createDataFrame([], "webhook_id string"), carriers, table("shipments", {"carrier_id": "ca1"}))
+    stream = lambda: spark.readStream.schema(MESSAGE).parquet(feed)
+    handler = ingest.Ingest(root, tables, lambda: C.instant("2024-03-01 11:00:10"))
+    ingest.start(stream(), handler, str(tmp_path / "cp")).awaitTermination()
+    with pytest.raises(ValueError, match="another checkpoint"):
+        ingest.start(stream(), handler, str(tmp_path / "cp2"))
+    ingest.start(stream(), handler, str(tmp_path / "cp")).awaitTermination()
+    assert handler.log(spark).count() == 1
+
+
 def test_duplicates_within_a_day_are_dropped(spark, tmp_path):
     feed = str(tmp_path / "in")
     rows = [("w1", datetime(2024, 3, 1, 1)), ("w1", datetime(2024, 3, 1, 2)), ("w2", datetime(2024, 3, 1, 3))]
@@ -123,21 +160,35 @@ def test_windows_on_a_stream_equal_the_batch(spark, tmp_path):
     assert spark.table("win").exceptAll(batch).count() == 0 and spark.table("win").count() == batch.count() > 0
 
 
-def test_cascade_monitor_reaches_the_batch_answer(spark, table, tmp_path):
-    shipments = table("shipments", {"id": "a"}, {"id": "b"}, {"id": "c"})
-    first = [("a", "2024-02-10 00:00:00"), ("b", "2024-02-10 06:00:00")]
-    second = [("c", "2024-02-11 00:00:00"), ("b", "2024-02-11 12:00:00"), ("a", "2024-02-20 00:00:00")]
+def _monitored(spark, table, tmp_path, shipments, *batches):
     log = lambda rows: table("tracking_events", *[{"shipment_id": s, "event_time": t, "is_exception": True} for s, t in rows])
     feed, root = str(tmp_path / "in"), str(tmp_path / "out")
     monitor = monitors.CascadeMonitor(root, lambda: shipments)
-    schema = log(first).schema
-    for rows in (first, second):
+    for rows in batches:
         log(rows).coalesce(1).write.mode("append").parquet(feed)
-        monitors.start(spark.readStream.schema(schema).parquet(feed), monitor, str(tmp_path / "cp")).awaitTermination()
-    got = spark.read.parquet(f"{root}/cascades/batch=1")
-    want = reports.cascades(log(first + second), shipments, None, 0, 48)
-    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() == 3
-    monitor(log(first).filter("false"), 2)  # an empty batch is fine
+        monitors.start(spark.readStream.schema(log(rows).schema).parquet(feed), monitor, str(tmp_path / "cp")).awaitTermination()
+    want = reports.cascades(log([r for rows in batches for r in rows]), shipments, None, 0, 48)
+    return monitor, log, sorted(map(str, monitor.totals(spark).collect())), sorted(map(str, want.collect()))
+
+
+@pytest.mark.parametrize("zone", ["UTC", "Asia/Tokyo", "America/Los_Angeles"])
+def test_cascade_monitor_reaches_the_batch_answer(spark, table, tmp_path, monkeypatch, zone):
+    """Whatever the driver's zone, with exceptions days apart and with a late event."""
+    monkeypatch.setenv("TZ", zone)
+    time.tzset()
+    try:
+        shipments = table("shipments", {"id": "a"}, {"id": "b"}, {"id": "c"})
+        first = [("a", "2024-02-10 00:00:00"), ("b", "2024-02-10 23:30:00")]
+        second = [("c", "2024-02-11 00:00:00"), ("b", "2024-02-11 12:00:00"), ("a", "2024-02-20 00:00:00"), ("c", "2024-02-21 23:59:00")]
+        late = [("c", "2024-02-10 00:30:00"), ("b", "2024-02-22 00:00:00")]
+        monitor, log, got, want = _monitored(spark, table, tmp_path, shipments, first, second, late)
+        assert got == want and len(got) == 3
+        monitor(log(first).filter("false"), 3)  # an empty batch is fine
+        monitor(log(second), 1)  # a replay counts what was known then, and its rows stay older ones
+        assert sorted(map(str, monitor.totals(spark).collect())) == want
+    finally:
+        monkeypatch.delenv("TZ")
+        time.tzset()
 
 
 def test_late_events_are_split(table):
