@@ -11,7 +11,9 @@ The scan here gives the same answers from bounded pieces:
   what its parent slice had before it.
 
 So the widest window is one slice, not one key: at most 2^22 entries for a bigint or decimal whatever
-its values, one entry per minute at the top of a timestamp. Nothing is sampled and nothing is collected.
+its values, one entry per minute at the top of a timestamp (about 16 million for 30 years). Nothing is collected.
+
+Row numbers and previous rows go by whole keys, strings too, and use ``ranged_scan``, which deals the rows by range instead.
 
 The input is read once per level, so it must give the same rows each time: pass a frame with an
 unordered ``limit`` or a random column through ``sources.checkpoints.materialized`` first.
@@ -27,6 +29,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from lanewise.sources.checkpoints import materialized
+
 _STRING_SLICE = 3
 _LAST = (1 << 63) - 1
 
@@ -156,23 +160,58 @@ def exclusive_scan(
     return scanned.drop(*group)
 
 
+def ranged_scan(df: DataFrame, group: list[str], keys: list[Key], sums: list[str] = (), lasts: list[str] = (), totals: list[str] = ()) -> DataFrame:
+    """:func:`exclusive_scan` over whole key values of any type; ``keys`` are unique within ``group``.
+
+    Rows are dealt by range over (group, keys), so equal shares whatever the values have in common: ids with one
+    prefix, a third of the rows on one instant, or in one group. They are written once, with the number of their range, so that
+    the totals per (group, range) and the scan inside a range see the same ranges. A group's ranges meet in one window: a row each.
+    """
+    df, group = _null_safe(df, list(group))
+    rows, levels = with_levels(df, list(keys))
+    values = [f"_k{n}" for n in range(len(keys))]
+    rows = rows.drop(*[c for c in levels if c not in values])
+    dealt = rows.repartitionByRange(*group, *values).withColumn("_range", F.spark_partition_id())
+    dealt = materialized(dealt)
+    edge = F.struct(*values)
+    per_range = dealt.groupBy(*group, "_range").agg(
+        *[F.sum(c).alias(c) for c in sums],
+        *[F.max_by(c, F.when(F.col(c).isNotNull(), edge)).alias(c) for c in lasts],
+    )
+    whole = Window.partitionBy(*group)
+    ranges_before = whole.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per_range.select(
+        *group,
+        "_range",
+        *[F.coalesce(F.sum(c).over(ranges_before), F.lit(0)).alias(f"before_{c}") for c in sums],
+        *[F.last(c, ignorenulls=True).over(ranges_before).alias(f"before_{c}") for c in lasts],
+        *[F.sum(c).over(whole).alias(f"total_{c}") for c in totals],
+    )
+    inside = Window.partitionBy(*group, "_range").orderBy(*values).rowsBetween(Window.unboundedPreceding, -1)
+    scanned = dealt.withColumns(
+        {f"_in_{c}": F.coalesce(F.sum(c).over(inside), F.lit(0)) for c in sums} | {f"_in_{c}": F.last(c, ignorenulls=True).over(inside) for c in lasts}
+    )
+    scanned = scanned.join(offsets, [*group, "_range"]).withColumns(
+        {f"before_{c}": F.col(f"before_{c}") + F.col(f"_in_{c}") for c in sums} | {f"before_{c}": F.coalesce(f"_in_{c}", f"before_{c}") for c in lasts}
+    )
+    return scanned.drop(*group, *values, "_range", *[f"_in_{c}" for c in (*sums, *lasts)])
+
+
 def positions(df: DataFrame, keys: list[Key], group: list[str] = (), into: str = "position", total: str | None = None) -> DataFrame:
     """1-based row number in ``keys`` order within ``group``; the last key must be unique."""
-    rows, levels = with_levels(df, list(keys))
-    rows = rows.withColumn("_one", F.lit(1).cast("long"))
-    scanned = exclusive_scan(rows, list(group), levels, sums=["_one"], totals=["_one"] if total else [])
+    rows = df.withColumn("_one", F.lit(1).cast("long"))
+    scanned = ranged_scan(rows, list(group), list(keys), sums=["_one"], totals=["_one"] if total else [])
     added = {into: F.col("before__one") + 1}
     if total:
         added[total] = F.col("total__one")
-    return scanned.withColumns(added).drop(*levels, "_one", "before__one", "total__one")
+    return scanned.withColumns(added).drop("_one", "before__one", "total__one")
 
 
 def previous(df: DataFrame, column: str, keys: list[Key], group: list[str] = (), into: str = "previous") -> DataFrame:
     """``column`` of the row before, in ``keys`` order within ``group``; NULL values are kept as they are."""
-    rows, levels = with_levels(df, list(keys))
-    rows = rows.withColumn("_cell", F.struct(F.col(column).alias("v")))
-    scanned = exclusive_scan(rows, list(group), levels, lasts=["_cell"])
-    return scanned.withColumn(into, F.col("before__cell")["v"]).drop(*levels, "_cell", "before__cell")
+    rows = df.withColumn("_cell", F.struct(F.col(column).alias("v")))
+    scanned = ranged_scan(rows, list(group), list(keys), lasts=["_cell"])
+    return scanned.withColumn(into, F.col("before__cell")["v"]).drop("_cell", "before__cell")
 
 
 def peer_totals(df: DataFrame, key: Key, measures: dict[str, Column], group: list[str] = ()) -> DataFrame:

@@ -83,19 +83,16 @@ def cargo_pages(cargo: DataFrame, page_size: int = 500) -> DataFrame:
     )
 
 
-def shipment_detail(
-    shipments: DataFrame, carriers: DataFrame, companies: DataFrame, cargo: DataFrame, events: DataFrame, as_of: str, page_size: int = 500
-) -> DataFrame:
-    """Full detail with nested cargo, latest event and duration in whole seconds.
+def shipment_detail(shipments: DataFrame, carriers: DataFrame, companies: DataFrame, cargo: DataFrame, events: DataFrame, as_of: str) -> DataFrame:
+    """Full detail with latest event, duration in whole seconds and the number of cargo items.
 
-    One row per shipment and cargo page; nearly every shipment has just page 0.
+    One row per shipment, whatever it carries; the items themselves are ``cargo_pages``.
     """
     named = joins.with_latest_event(joins.with_carrier(shipments, carriers), events)
     for role in ("shipper", "consignee"):
         named = named.join(companies.select(F.col("id").alias(f"{role}_id"), F.col("legal_name").alias(f"{role}_name")), f"{role}_id")
-    pages = cargo_pages(cargo, page_size).withColumnRenamed("shipment_id", "id")
-    joined = named.join(pages, "id", "left")
-    empty = F.array().cast(pages.schema["cargo_items"].dataType)
+    counts = cargo.groupBy(F.col("shipment_id").alias("id")).agg(F.count("*").alias("cargo_count"))
+    joined = named.join(counts, "id", "left")
     end = F.coalesce(F.col("actual_arrival"), C.instant(as_of))
     return joined.select(
         "id",
@@ -123,8 +120,7 @@ def shipment_detail(
         "hs_codes",
         "tags",
         "notes",
-        F.coalesce("cargo_page", F.lit(0)).alias("cargo_page"),
-        F.coalesce("cargo_items", empty).alias("cargo_items"),
+        F.coalesce("cargo_count", F.lit(0)).alias("cargo_count"),
         "created_at",
         "updated_at",
     )

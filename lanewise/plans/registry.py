@@ -151,9 +151,14 @@ def b1_shipment_list(b):
 
 @query
 def b2_shipment_detail(b):
-    detail = projections.shipment_detail(b.shipments, b.carriers, b.companies, b.cargo, b.tracking_events, AS_OF)
-    items = F.array_join(F.transform("cargo_items", lambda i: F.concat_ws(":", i["id"], i["gross_weight_kg"].cast("string"), i["package_count"].cast("string"))), ",")
-    return detail.withColumn("cargo_items", items)
+    return projections.shipment_detail(b.shipments, b.carriers, b.companies, b.cargo, b.tracking_events, AS_OF)
+
+
+@query
+def b2_detail_cargo(b):
+    """Every nested field of the detail's cargo, a row an item."""
+    pages = projections.cargo_pages(b.cargo)
+    return pages.select("shipment_id", "cargo_page", F.explode("cargo_items").alias("item")).select("shipment_id", "cargo_page", "item.*")
 
 
 @query
@@ -486,6 +491,12 @@ def e8_e9_message_outcomes(b):
     return parsed.groupBy("reason").agg(F.count("*").alias("n"), F.min("received_at").alias("first_at"), F.max("received_at").alias("last_at"))
 
 
+@query
+def h13_percentiles_of_two_carriers(b):
+    """One carrier of the fleet and one id that no delivery has."""
+    return reports.transit_percentiles(b.shipments, 7, -1)
+
+
 # derived columns
 
 

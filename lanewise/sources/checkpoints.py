@@ -11,7 +11,8 @@ def materialized(df: DataFrame) -> DataFrame:
     """``df`` written to the checkpoint folder and read back, so plans built on it start there.
 
     The folder is the session's (``spark.checkpoint.dir``). Only a local-mode session without one gets a
-    temporary folder; on a cluster a machine-local folder would be lost with its machine.
+    temporary folder; on a cluster a machine-local folder would be lost with its machine. Spark removes a checkpoint when no frame
+    refers to it any more if ``spark.cleaner.referenceTracking.cleanCheckpoints`` is true, as it should be.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from lanewise.functions.signatures import signature_valid
+from lanewise.functions.signatures import pads, signature_valid
 from lanewise.plans import jobs
 from lanewise.sources.folders import exists, subfolders
 from lanewise.sources.schemas import ENVELOPE
@@ -37,9 +37,9 @@ def parse(messages: DataFrame, carriers: DataFrame) -> DataFrame:
     ``messages`` has carrier_code, raw_body, signature, received_at. Ids and types are trimmed; blank ones are malformed.
     Refused messages are for a quarantine sink.
     """
-    working = carriers.filter("is_active").select(
-        "carrier_code", F.get_json_object("service_metadata", "$.webhook_secret").alias("_secret"), F.lit(True).alias("_known")
-    )
+    secret = F.get_json_object("service_metadata", "$.webhook_secret")
+    inner, outer = pads(secret)
+    working = carriers.filter("is_active").select("carrier_code", secret.alias("_secret"), inner.alias("_inner"), outer.alias("_outer"), F.lit(True).alias("_known"))
     body = F.from_json(F.decode("raw_body", "UTF-8"), ENVELOPE)
     joined = messages.join(working, "carrier_code", "left").withColumn("_body", body)
     flat = joined.select("*", "_body.*").withColumns({c: _trimmed(c) for c in _MAX_LENGTH})
@@ -48,10 +48,10 @@ def parse(messages: DataFrame, carriers: DataFrame) -> DataFrame:
     reason = (
         F.when(F.col("_known").isNull(), "unknown_carrier")
         .when(F.coalesce("_secret", F.lit("")) == "", "no_secret")
-        .when(~signature_valid("raw_body", "signature", "_secret"), "bad_signature")
+        .when(~signature_valid(F.col("raw_body"), F.col("signature"), F.col("_inner"), F.col("_outer")), "bad_signature")
         .when(malformed, "malformed")
     )
-    return flat.withColumn("reason", reason).drop("_secret", "_known", "_body")
+    return flat.withColumn("reason", reason).drop("_secret", "_inner", "_outer", "_known", "_body")
 
 
 def accepted(parsed: DataFrame) -> DataFrame:

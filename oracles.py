@@ -275,10 +275,15 @@ sql(
     carrier_name, {MODE_LABELS} AS carrier_mode, sh.legal_name AS shipper_name, co.legal_name AS consignee_name, origin_port_id, destination_port_id,
     CAST(declared_value AS DOUBLE) AS declared_value, CAST(freight_cost AS DOUBLE) AS freight_cost, currency_code, incoterms, booking_date, departure_date,
     estimated_arrival, actual_arrival, CAST(date_diff('second', departure_date, coalesce(actual_arrival, {AS_OF})) AS BIGINT) AS transit_duration_seconds,
-    e.latest AS latest_event_time, hs_codes, tags, notes, 0 AS cargo_page, coalesce(g.items, '') AS cargo_items, created_at, updated_at
+    e.latest AS latest_event_time, hs_codes, tags, notes, coalesce(g.items, 0) AS cargo_count, created_at, updated_at
     FROM shipments s JOIN carriers c ON c.id = s.carrier_id JOIN companies sh ON sh.id = s.shipper_id JOIN companies co ON co.id = s.consignee_id
     LEFT JOIN (SELECT shipment_id, max(event_time) AS latest FROM tracking_events GROUP BY 1) e ON e.shipment_id = s.id
-    LEFT JOIN (SELECT shipment_id, string_agg(id || ':' || gross_weight_kg || ':' || package_count, ',' ORDER BY id) AS items FROM cargo GROUP BY 1) g ON g.shipment_id = s.id""",
+    LEFT JOIN (SELECT shipment_id, count(*) AS items FROM cargo GROUP BY 1) g ON g.shipment_id = s.id""",
+)
+sql(
+    "b2_detail_cargo",
+    f"""SELECT id, shipment_id, (row_number() OVER (PARTITION BY shipment_id ORDER BY id) - 1) // 500 AS cargo_page, cargo_type, {CARGO_LABELS} AS cargo_type_display, description,
+    container_number, {CARGO_DOUBLES}, package_count, package_type, is_hazmat, un_number FROM cargo""",
 )
 sql(
     "b3_cargo_view",
@@ -626,6 +631,11 @@ PERCENTILES = """SELECT carrier_id, nullif(quantile_cont(d, 0.5), 0) AS median_d
       WHERE status = 'DELIVERED' AND actual_arrival IS NOT NULL AND departure_date IS NOT NULL {more}) GROUP BY 1"""
 sql("h13_transit_percentiles", PERCENTILES.format(more=""))
 sql("h13_transit_percentiles_one_carrier", PERCENTILES.format(more="AND carrier_id = 7"))
+sql(
+    "h13_percentiles_of_two_carriers",
+    f"""SELECT carrier_id, median_days, p95_days, coalesce(sample_size, 0) AS sample_size FROM (SELECT unnest([7, -1])::BIGINT AS carrier_id)
+    LEFT JOIN ({PERCENTILES.format(more="")}) USING (carrier_id)""",
+)
 sql(
     "h14_top_lanes",
     f"""SELECT s.route_id, route_code, count(s.id) AS shipment_count, CAST(sum(declared_value) AS DOUBLE) AS total_value, CAST(p.arrival_delay_hours AS DOUBLE) AS latest_delay_hours,

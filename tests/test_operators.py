@@ -117,15 +117,23 @@ def test_list_takes_ports_from_the_route(table):
     assert row["origin_port"]["port_name"] == "One" and row["status_display"] == "In Transit" and row["carrier_mode"] == "Sea Freight"
 
 
-def test_detail_pages_cargo_whole(table):
+def test_detail_has_a_row_per_shipment_and_pages_hold_cargo_whole(table):
     shipments, carriers = table("shipments", {}, {}), table("carriers", {"id": "ca1"})
     companies = table("companies", {"id": "co1", "legal_name": "A"}, {"id": "co2", "legal_name": "B"})
     cargo = table("cargo", *[{"id": f"g{n}"} for n in range(5)])
     events = table("tracking_events", {}, {"event_time": "2024-02-26"})
-    detail = projections.shipment_detail(shipments, carriers, companies, cargo, events, AS_OF, page_size=2).orderBy("id", "cargo_page").collect()
-    assert [(r["id"], r["cargo_page"], len(r["cargo_items"])) for r in detail] == [("s1", 0, 2), ("s1", 1, 2), ("s1", 2, 1), ("s2", 0, 0)]
-    assert detail[0]["latest_event_time"].day == 26 and detail[3]["latest_event_time"] is None
+    detail = projections.shipment_detail(shipments, carriers, companies, cargo, events, AS_OF).orderBy("id").collect()
+    assert [(r["id"], r["cargo_count"]) for r in detail] == [("s1", 5), ("s2", 0)]
+    assert detail[0]["latest_event_time"].day == 26 and detail[1]["latest_event_time"] is None
     assert detail[0]["transit_duration_seconds"] == 7 * 86400
+    pages = projections.cargo_pages(cargo, page_size=2).orderBy("cargo_page").collect()
+    assert [(r["shipment_id"], r["cargo_page"], [i["id"] for i in r["cargo_items"]]) for r in pages] == [("s1", 0, ["g0", "g1"]), ("s1", 1, ["g2", "g3"]), ("s1", 2, ["g4"])]
+
+
+def test_page_size_is_refused_outside_its_limits(table):
+    for size in (0, 201):
+        with pytest.raises(ValueError, match="size"):
+            paging.page(table("shipments", {}), size=size)
 
 
 def test_pages_cover_every_row_once(table):

@@ -123,6 +123,25 @@ def test_range_counts_include_both_ends(spark):
 
 
 def test_no_window_without_partition_over_rows(frame):
-    """The widest window of the global scans runs over slices, not rows."""
+    """Windows of the global scans over rows are split by range; the one over everything has a row a range."""
     plan = windows.with_quartile_by_value(frame)._jdf.queryExecution().optimizedPlan().toString()
-    assert "_k0s22" in plan and "ntile" not in plan
+    assert "_range" in plan and "ntile" not in plan
+    over_rows = [line for line in plan.splitlines() if "Window" in line and "_k0" in line]
+    assert over_rows and all("[_range#" in line for line in over_rows)
+
+
+def test_ids_with_one_prefix_are_dealt_evenly(spark):
+    """A third of the rows on one instant and in one group, all ids alike but for their end."""
+    n = 30_000
+    rows = spark.range(n).select(
+        F.format_string("GT-SEED-2024-%012d", F.col("id")).alias("id"),
+        F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("g"), F.col("id") % 50)).alias("g"),
+        F.when(F.col("id") % 3 == 1, F.lit("2024-01-01")).otherwise(F.lit("2024-01-02")).cast("timestamp").alias("at"),
+    )
+    numbered = positions(rows, [Key("at"), Key("id")], ["g"], into="n", total="all")
+    got = numbered.groupBy("g").agg(F.count("*").alias("rows"), F.countDistinct("n").alias("numbers"), F.max("n").alias("last"), F.max("all").alias("all")).collect()
+    assert all(r["rows"] == r["numbers"] == r["last"] == r["all"] for r in got) and sum(r["rows"] for r in got) == n
+    dealt = rows.repartitionByRange(8, "g", "at", "id").groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    assert dealt < 2 * n / 8
+    before = previous(rows, "id", [Key("id")], into="p").filter("id > 'GT-SEED-2024-000000000000'")
+    assert before.filter(F.substring("p", -12, 12).cast("long") != F.substring("id", -12, 12).cast("long") - 1).count() == 0

@@ -9,7 +9,7 @@ from conftest import AS_OF
 from pyspark.sql import functions as F
 
 from lanewise.functions import columns as C
-from lanewise.functions.signatures import sign
+from lanewise.functions.signatures import pads, sign, signature_valid, signed
 from lanewise.plans import reports
 from lanewise.sources.schemas import MESSAGE
 from lanewise.streaming import ingest, monitors
@@ -207,3 +207,13 @@ def test_refresh_runs_once_per_new_batch(spark, table, tmp_path):
         monitors.refresh_when_new(stream, lambda: calls.append(AS_OF), str(tmp_path / "cp")).awaitTermination()
     monitors.refresh_when_new(spark.readStream.schema(events.schema).parquet(feed), lambda: calls.append(AS_OF), str(tmp_path / "cp")).awaitTermination()
     assert len(calls) == 2
+
+
+def test_signatures_equal_the_library_for_any_key_length(spark):
+    secrets = ["k", "é" * 20, "x" * 63, "x" * 64, "x" * 65, "long" * 50, ""]
+    rows = [(s, b) for s in secrets for b in (b"", b"{}", bytes(range(256)), "ünï".encode())]
+    got = spark.createDataFrame(rows, "secret string, body binary").select("secret", "body", signed(F.col("body"), F.col("secret")).alias("s")).collect()
+    assert len(got) == len(rows) and all(r["s"] == sign(bytes(r["body"]), r["secret"]) for r in got)
+    nulls = spark.createDataFrame([(None, b"a"), ("k", None)], "secret string, body binary")
+    valid = signature_valid(F.col("body"), F.lit("sha256=00"), *pads(F.col("secret")))
+    assert [r[0] for r in nulls.select(valid).collect()] == [False, False]
