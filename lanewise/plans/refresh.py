@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from datetime import date, timedelta
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lanewise.plans import matviews, snapshots
+from lanewise.sources.periods import PeriodTable
 from lanewise.sources.snapshot_store import SnapshotStore
-from lanewise.sources.versions import VersionedTable
 
 # how often each view is due, for the scheduler's table
 CADENCE = {
@@ -44,10 +45,18 @@ def build_view(name: str, tables: Freight, as_of: str) -> DataFrame:
     return builders[name]()
 
 
-def view_table(spark: SparkSession, root: str, name: str) -> VersionedTable:
+# view -> its period column and unit
+PERIODS = {
+    "mv_carrier_daily_stats": ("stat_date", "month"),
+    "mv_route_monthly_performance": ("stat_month", "month"),
+    "mv_port_congestion": ("stat_week", "week"),
+}
+
+
+def view_table(spark: SparkSession, root: str, name: str) -> PeriodTable:
     if name not in matviews.KEYS:
         raise ValueError(f"unknown view {name!r}; known: {sorted(matviews.KEYS)}")
-    return VersionedTable(spark, f"{root}/{name}", matviews.KEYS[name])
+    return PeriodTable(spark, f"{root}/{name}", matviews.KEYS[name], *PERIODS[name])
 
 
 def refresh_views(spark: SparkSession, root: str, tables: Freight, as_of: str, view: str = "ALL") -> dict:
@@ -57,20 +66,47 @@ def refresh_views(spark: SparkSession, root: str, tables: Freight, as_of: str, v
     return {"refreshed": list(done), "rows": done, "status": "ok"}
 
 
-def refresh_carrier_days(spark: SparkSession, root: str, tables: Freight, as_of: str, touched: DataFrame) -> dict:
-    """Rebuild only the (carrier_id, stat_date) keys in ``touched`` and carry the rest over.
+def refresh_periods(spark: SparkSession, root: str, tables: Freight, as_of: str, view: str, periods: list[str]) -> dict:
+    """Rebuild the given periods (their first days) of a view and leave all others as they are.
 
-    Cargo and events are cut to the touched shipments before they are totalled. A touched key that has no
-    shipments left disappears.
+    The time column of the fact table is cut to the periods with literal bounds, which reach the scan (and prune it where the
+    table is laid out by time); cargo and events are cut to the shipments, or to the days around the port calls, before they are totalled.
     """
-    keys = touched.select("carrier_id", "stat_date").distinct()
-    dated = tables.shipments.withColumn("stat_date", F.to_date("departure_date"))
-    part = dated.join(keys, ["carrier_id", "stat_date"], "left_semi").drop("stat_date")
-    ids = part.select(F.col("id").alias("shipment_id"))
-    cargo = tables.cargo.join(ids, "shipment_id", "left_semi")
-    events = tables.tracking_events.join(ids, "shipment_id", "left_semi")
-    fresh = matviews.carrier_daily_stats(part, cargo, events, as_of)
-    return view_table(spark, root, "mv_carrier_daily_stats").publish_touched(fresh, keys)
+    table = view_table(spark, root, view)
+    unit = PERIODS[view][1]
+    # period by period for single ones, so that two far apart do not read what lies between
+    within = lambda column: reduce(lambda a, b: a | b, [(F.col(column) >= F.lit(p).cast("timestamp")) & (F.col(column) < F.lit(_after(p, unit)).cast("timestamp")) for p in periods])
+    if not periods:
+        return {"version": table.current(), "rows": 0, "periods": []}
+    if view == "mv_port_congestion":
+        calls = tables.port_calls.filter(within("scheduled_arrival"))
+        near = reduce(lambda a, b: a | b, [F.col("event_time").between(F.lit(_shifted(p, -3)).cast("timestamp"), F.lit(_shifted(_after(p, unit), 3)).cast("timestamp")) for p in periods])
+        fresh = matviews.port_congestion(calls, tables.tracking_events.filter(near))
+    else:
+        part = tables.shipments.filter(within("departure_date"))
+        ids = part.select(F.col("id").alias("shipment_id"))
+        children = [t.join(ids, "shipment_id", "left_semi") for t in (tables.cargo, tables.tracking_events)]
+        fresh = build_view(view, replace(tables, shipments=part, cargo=children[0], tracking_events=children[1]), as_of)
+    return table.publish(fresh, periods)
+
+
+def _shifted(day: str, days: int) -> str:
+    return (date.fromisoformat(day) + timedelta(days=days)).isoformat()
+
+
+def _after(period: str, unit: str) -> str:
+    """The first day of the next period."""
+    if unit == "week":
+        return _shifted(period, 7)
+    first = date.fromisoformat(period)
+    return date(first.year + first.month // 12, first.month % 12 + 1, 1).isoformat()
+
+
+def refresh_carrier_days(spark: SparkSession, root: str, tables: Freight, as_of: str, touched: DataFrame) -> dict:
+    """Rebuild the months of the (carrier_id, stat_date) keys in ``touched``; a key without shipments left disappears."""
+    table = view_table(spark, root, "mv_carrier_daily_stats")
+    months = touched.select(table.period_of(F.col("stat_date")).alias("month")).dropna().distinct().collect()  # a row a month
+    return refresh_periods(spark, root, tables, as_of, "mv_carrier_daily_stats", sorted(r["month"] for r in months))
 
 
 def populate_snapshots(spark: SparkSession, root: str, tables: Freight, as_of: str, day: str | None = None, entity_type: str = "ALL") -> dict:

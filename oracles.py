@@ -258,6 +258,12 @@ def carrier_rows(at: str) -> str:
 sql("a7_upserted_snapshots", f"{global_rows(AS_OF)} UNION ALL {carrier_rows(chr(84) + 'IMESTAMP ' + chr(39) + '1998-06-30' + chr(39))}")
 sql("a8_view_keys_unique", "SELECT count(*) AS rows, 1 AS most FROM (SELECT DISTINCT carrier_id, CAST(departure_date AS DATE) FROM shipments)")
 
+sql(
+    "a8_refreshed_months",
+    """SELECT route_id, CAST(date_trunc('month', departure_date) AS DATE) AS stat_month, count(*) AS shipment_count, CAST(coalesce(sum(declared_value), 0) AS DOUBLE) AS total_declared_value
+    FROM shipments WHERE departure_date IS NOT NULL AND (year(departure_date) IN (1996, 1997) OR id % 3 > 0) GROUP BY 1, 2""",
+)
+
 # projections
 
 sql(

@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 from lanewise.functions import columns as C
 from lanewise.functions import domain
 from lanewise.plans import jobs, matviews
-from lanewise.plans.refresh import Freight, populate_snapshots, refresh_carrier_days, refresh_views, view_table
+from lanewise.plans.refresh import Freight, populate_snapshots, refresh_carrier_days, refresh_periods, refresh_views, view_table
 from lanewise.sources import generator, tables
 from lanewise.sources.snapshot_store import SnapshotStore
+from lanewise.sources.folders import subfolders
+from lanewise.sources.periods import PeriodTable
 from lanewise.sources.versions import DuplicateKeyError, VersionedTable
 
 def now():
@@ -183,6 +185,42 @@ def test_touched_days_only(spark, table, freight, tmp_path):
     part = view_table(spark, root, "mv_carrier_daily_stats").read().orderBy("stat_date").collect()
     whole = matviews.carrier_daily_stats(more, freight.cargo, freight.tracking_events, AS_OF).orderBy("stat_date").collect()
     assert part == whole
+    # only the touched month was written again, and what no list names is gone after the next one
+    table_ = view_table(spark, root, "mv_carrier_daily_stats")
+    assert subfolders(spark, f"{root}/mv_carrier_daily_stats/w-00000002") == ["period=2024-02-01"]
+    for _ in range(2):
+        table_.publish(matviews.carrier_daily_stats(more, freight.cargo, freight.tracking_events, AS_OF))
+    assert [n for n in subfolders(spark, f"{root}/mv_carrier_daily_stats") if n.startswith("w-")] == ["w-00000003", "w-00000004"]
+
+
+def test_periods_are_replaced_one_by_one(spark, tmp_path):
+    made = lambda *rows: spark.createDataFrame(rows, "k int, day string, v int").withColumn("day", F.to_date("day"))
+    store = PeriodTable(spark, str(tmp_path / "p"), ["k"], "day")
+    with pytest.raises(FileNotFoundError):
+        store.read()
+    assert store.publish(made((1, "2024-01-31", 1), (2, "2024-02-01", 1), (3, "2024-03-05", 1)))["rows"] == 3
+    with pytest.raises(ValueError, match="outside"):
+        store.publish(made((4, "2024-03-05", 1)), ["2024-02-01"])
+    with pytest.raises(DuplicateKeyError):
+        store.publish(made((2, "2024-02-01", 1), (2, "2024-02-02", 1)), ["2024-02-01"])
+    before = store.read()
+    store.publish(made((2, "2024-02-20", 7)), ["2024-02-01", "2024-03-01"])
+    rows = lambda df: sorted((r["k"], str(r["day"]), r["v"]) for r in df.collect())
+    assert rows(store.read()) == [(1, "2024-01-31", 1), (2, "2024-02-20", 7)] and len(rows(before)) == 3
+    assert rows(store.read(since="2024-02-01")) == [(2, "2024-02-20", 7)] and rows(store.read(until="2023-12-01")) == []
+    store.publish(made().limit(0))
+    assert store.read().count() == 0 and store.read().columns == ["k", "day", "v"]
+
+
+def test_refreshed_periods_equal_the_whole_view(spark, table, freight, tmp_path):
+    root = str(tmp_path)
+    calls = table("port_calls", {"port_id": "p1", "scheduled_arrival": "2024-02-12 00:00:00"}, {"port_id": "p1", "scheduled_arrival": "2024-02-19 01:00:00"}, {"port_id": "p1", "scheduled_arrival": "2024-02-26 00:00:00"})
+    events = table("tracking_events", *[{"port_id": "p1", "event_time": t, "is_exception": True} for t in ("2024-02-11 12:00:00", "2024-02-17 01:00:00", "2024-02-21 01:00:00", "2024-02-25 00:00:00")])
+    tables_ = Freight(freight.shipments, freight.cargo, events, calls, freight.carriers, freight.routes)
+    refresh_views(spark, root, Freight(freight.shipments, freight.cargo, events.filter("false"), calls, freight.carriers, freight.routes), AS_OF, "mv_port_congestion")
+    refresh_periods(spark, root, tables_, AS_OF, "mv_port_congestion", ["2024-02-12", "2024-02-19", "2024-02-26"])
+    whole = matviews.port_congestion(calls, events)
+    assert sorted(map(str, view_table(spark, root, "mv_port_congestion").read().collect())) == sorted(map(str, whole.collect()))
 
 
 def test_duplicate_keys_are_not_published(spark, tmp_path):
