@@ -63,6 +63,16 @@ def contains_all(column: str, *values: str) -> Column:
     return reduce(lambda a, b: a & b, [F.array_contains(column, v) for v in values])
 
 
+def json_contains(df: DataFrame, column: str, **wanted: str) -> DataFrame:
+    """Rows whose JSON object in ``column`` has all the given top-level keys with these values."""
+    return df.filter(reduce(lambda a, b: a & b, [F.get_json_object(column, f"$['{k}']") == F.lit(v) for k, v in wanted.items()]))
+
+
+def with_hs_codes(df: DataFrame, *codes: str) -> DataFrame:
+    """Shipments that carry goods of every given HS code."""
+    return df.filter(contains_all("hs_codes", *codes))
+
+
 def json_equals(df: DataFrame, column: str, key: str, value: str) -> DataFrame:
     return df.filter(F.get_json_object(column, f"$.{key}") == F.lit(value))
 

@@ -21,11 +21,12 @@ from lanewise.operators import derive, filters, intervals, joins, paging, projec
 from lanewise.operators.filters import Principal, ShipmentCriteria
 from lanewise.operators.ordering import union_all
 from lanewise.plans import jobs, matviews, reports, snapshots
-from lanewise.plans.refresh import Freight, refresh_periods, refresh_views, view_table
+from lanewise.plans.refresh import Freight, populate_snapshots, refresh_periods, refresh_views, view_table
 from lanewise.sources import generator, tables
 from lanewise.sources.bindings import Bindings
 from lanewise.sources.checkpoints import run_folder
 from lanewise.sources.periods import PeriodTable
+from lanewise.sources.snapshot_store import SnapshotStore
 from lanewise.sources.versions import replaced
 from lanewise.streaming import ingest, monitors
 
@@ -144,6 +145,32 @@ def _published(b: Bindings, view: str) -> PeriodTable:
     return view_table(spark, root, view)
 
 
+def _snapshot_rows(b: Bindings) -> DataFrame:
+    """The snapshots of a day as the job writes them, read back as the stored table."""
+    spark, root = b.shipments.sparkSession, run_folder(b.shipments.sparkSession)
+    whole = Freight(b.shipments, b.cargo, b.tracking_events, b.port_calls, b.carriers, b.routes)
+    for entity in ("CARRIER", "GLOBAL"):
+        populate_snapshots(spark, root, whole, AS_OF, DAY, entity)
+    SnapshotStore(spark, root).read(DAY).write.parquet(f"{root}/all/analytics_snapshots")
+    return tables.read_table(spark, f"{root}/all", "analytics_snapshots")
+
+
+@query
+def a1_scan_analytics_snapshots(b):
+    """Also the snapshot job run: both entity types of one date through the store."""
+    return _snapshot_rows(b).select("entity_type", "entity_id", "snapshot_date", "granularity", "metric_key", "metric_value", "dimensions")
+
+
+@query
+def e1_e3_snapshot_violations(b):
+    """Snapshots with a wrong granularity for one metric and a second row for another."""
+    rows = _snapshot_rows(b)
+    hourly = F.when(F.col("metric_key") == "shipments.delay_count", F.lit("HOURLY")).otherwise(F.col("granularity"))
+    twice = rows.withColumn("granularity", hourly).unionByName(rows.filter("metric_key = 'shipments.count'"))
+    broken = quality.row_violations(twice, "analytics_snapshots").groupBy("table", "rule_name").agg(F.count("*").alias("n"))
+    return broken.unionByName(quality.unique_violations(twice, "analytics_snapshots").groupBy("table", "rule_name").agg(F.count("*").alias("n")))
+
+
 @query
 def a8_view_keys_unique(b):
     daily = _published(b, "mv_carrier_daily_stats").read()
@@ -345,6 +372,13 @@ def c19_lookups(b):
     return union_all([df.select(F.lit(test).alias("test"), F.col("id").cast("string").alias("id")) for test, df in found.items()])
 
 
+@query
+def c19_json_and_codes(b):
+    wanted = filters.json_contains(b.shipments, "custom_attributes", idempotency_key="key-0000000040")
+    both = filters.with_hs_codes(b.shipments, "8471.30", "8473.30").filter(F.pmod("id", F.lit(97)) == 0)
+    return wanted.select(F.lit("json").alias("test"), "id").unionByName(both.select(F.lit("codes").alias("test"), "id"))
+
+
 # joins
 
 
@@ -470,6 +504,12 @@ def e5_checked_bookings(b):
     return checked.groupBy("error", "currency_code").agg(F.count("*").alias("n"), F.sum("shipper_id").alias("shippers"))
 
 
+@query
+def e5_bookings_by_row(b):
+    checked = quality.check_bookings(_bookings(b), b.carriers, b.routes, C.instant(AS_OF))
+    return checked.select("idempotency_key", "shipper_id", "carrier_id", "route_id", "departure_date", "declared_value", "currency_code", "error")
+
+
 @query
 def e6_checked_cargo(b):
     return quality.check_cargo(b.cargo).select("id", "error")
@@ -518,6 +558,12 @@ def e8_e9_message_outcomes(b):
     return parsed.groupBy("reason").agg(F.count("*").alias("n"), F.min("received_at").alias("first_at"), F.max("received_at").alias("last_at"))
 
 
+@query
+def e8_messages_by_row(b):
+    parsed = ingest.parse(_messages(b), b.carriers)
+    return parsed.select("carrier_code", "received_at", F.when(F.col("reason").isNull(), F.col("webhook_id")).alias("webhook_id"), "reason")
+
+
 @query
 def h13_percentiles_of_two_carriers(b):
     """One carrier of the fleet and one id that no delivery has."""

@@ -256,6 +256,12 @@ def carrier_rows(at: str) -> str:
 
 
 sql("a7_upserted_snapshots", f"{global_rows(AS_OF)} UNION ALL {carrier_rows(chr(84) + 'IMESTAMP ' + chr(39) + '1998-06-30' + chr(39))}")
+sql("a1_scan_analytics_snapshots", f"{global_rows(AS_OF)} UNION ALL {carrier_rows(AS_OF)}")
+sql(
+    "e1_e3_snapshot_violations",
+    f"""SELECT 'analytics_snapshots' AS "table", CASE WHEN metric_key = 'shipments.count' THEN 'metric_unique' ELSE 'granularity_valid' END AS rule_name, count(*) AS n
+    FROM ({carrier_rows(AS_OF)}) WHERE metric_key IN ('shipments.count', 'shipments.delay_count') GROUP BY ALL""",
+)
 sql("a8_view_keys_unique", "SELECT count(*) AS rows, 1 AS most FROM (SELECT DISTINCT carrier_id, CAST(departure_date AS DATE) FROM shipments)")
 
 sql(
@@ -342,6 +348,11 @@ sql(
     "c18_no_delay_today",
     f"SELECT id AS shipment_id, 'DELAY' AS event_type FROM shipments WHERE {OVERDUE.format(at=AS_OF_EVENTS)} AND NOT {TOLD.format(at=AS_OF_EVENTS)}",
 )
+sql(
+    "c19_json_and_codes",
+    """SELECT 'json' AS test, id FROM shipments WHERE 'key-' || lpad(CAST(id AS VARCHAR), 10, '0') = 'key-0000000040'
+    UNION ALL SELECT 'codes', id FROM shipments WHERE hs_codes LIKE '%8471.30%' AND hs_codes LIKE '%8473.30%' AND id % 97 = 0""",
+)
 sql(
     "c19_lookups",
     """SELECT 'tracking' AS test, CAST(id AS VARCHAR) AS id FROM shipments WHERE tracking_number IN ('GT-0000000007', 'GT-0000000008')
@@ -511,6 +522,7 @@ checked AS (SELECT b.* REPLACE (upper(b.currency_code) AS currency_code),
     FROM bookings b LEFT JOIN carriers c ON c.id = b.carrier_id LEFT JOIN routes r ON r.id = b.route_id)
 """.replace("AS_OF", AS_OF)
 sql("e5_checked_bookings", "SELECT error, currency_code, count(*) AS n, CAST(sum(shipper_id) AS BIGINT) AS shippers FROM checked GROUP BY 1, 2", BOOKINGS)
+sql("e5_bookings_by_row", "SELECT idempotency_key, shipper_id, carrier_id, route_id, departure_date, CAST(declared_value AS DOUBLE) AS declared_value, currency_code, error FROM checked", BOOKINGS)
 sql(
     "e6_checked_cargo",
     """SELECT id, CASE WHEN gross_weight_kg <= 0 THEN 'gross_weight_not_positive' WHEN un_number <> '' AND NOT regexp_full_match(un_number, '[0-9]{4}') THEN 'un_number_not_4_digits'
@@ -542,6 +554,14 @@ sql(
     FROM tracking_events e JOIN shipments s ON s.id = e.shipment_id JOIN carriers c ON c.id = s.carrier_id GROUP BY 1""",
 )
 
+sql(
+    "e8_messages_by_row",
+    """SELECT CASE WHEN e.id % 19 = 0 THEN 'NOBODY' ELSE c.carrier_code END AS carrier_code, event_time AS received_at,
+      CASE WHEN NOT (e.id % 19 = 0 OR NOT c.is_active OR e.id % 17 = 0 OR e.id % 13 = 0) THEN 'm' || (e.id // 2) END AS webhook_id,
+      CASE WHEN e.id % 19 = 0 OR NOT c.is_active THEN 'unknown_carrier' WHEN e.id % 17 = 0 THEN 'bad_signature' WHEN e.id % 13 = 0 THEN 'malformed' END AS reason
+    FROM tracking_events e JOIN shipments s ON s.id = e.shipment_id JOIN carriers c ON c.id = s.carrier_id""",
+)
+
 # derived columns
 
 sql("f1_transit_duration", f"SELECT id, CAST(date_diff('second', departure_date, coalesce(actual_arrival, {AS_OF})) AS BIGINT) AS transit_seconds FROM shipments")
