@@ -26,7 +26,7 @@ from lanewise.llm.shared import shared_folder, whole_text
 
 MANIFEST = "shard long, file string, n_docs long, n_ids long"
 #: Encoded pieces a worker remembers; a piece beyond them is encoded again each time.
-PIECES = 400_000
+PIECES = 1_000_000
 _INNER_SPACE = re.compile(r" (?=\s|$)")
 _SPLIT = re.compile(r" (?=\S)")
 
