@@ -916,6 +916,27 @@ def k1_ingested_events(b):
     return jobs.message_events(matched, now).select("shipment_id", "event_type", "event_time", "recorded_at", "description", "source_system")
 
 
+@query
+def k1_two_batches(b):
+    """The stateful ingest over two consecutive batches: its event log."""
+    spark, sent = b.shipments.sparkSession, _messages(b)
+    webhook = F.get_json_object(F.decode("raw_body", "UTF-8"), "$.webhook_id")
+    handler = ingest.Ingest(run_folder(spark), lambda: (jobs.processed_webhooks(b.tracking_events), b.carriers, b.shipments), lambda: C.instant(AS_OF_EVENTS))
+    for batch in range(2):
+        handler(sent.filter(F.pmod(F.crc32(webhook.cast("binary")), F.lit(2)) == batch), batch)
+    return handler.log(spark).select("shipment_id", "event_type", "event_time", "recorded_at", "description", "source_system")
+
+
+@query
+def k3_merged_cascades(b):
+    """The cascade monitor over two batches that lie in each other's reach: its merged totals."""
+    spark = b.shipments.sparkSession
+    monitor = monitors.CascadeMonitor(run_folder(spark), lambda: b.shipments)
+    for batch in range(2):
+        monitor(b.tracking_events.filter(F.pmod("id", F.lit(2)) == batch), batch)
+    return monitor.totals(spark)
+
+
 @query
 def k2_exception_windows_by_port(b):
     return monitors.exception_windows(b.tracking_events, "port_id", "1 day")

@@ -811,16 +811,18 @@ sql(
     count(*) AS total_events, count(*) FILTER (WHERE is_exception) AS exception_count
     FROM tracking_events e JOIN shipments s ON s.id = e.shipment_id GROUP BY 1, 2, 3""",
 )
-sql(
-    "k1_ingested_events",
-    f"""SELECT s.id AS shipment_id, 'DOC_RECEIVED' AS event_type, sent_at AS event_time, {AS_OF_EVENTS} AS recorded_at, 'Carrier webhook: ' || kind AS description,
+for _name in ("k1_ingested_events", "k1_two_batches"):
+    sql(
+        _name,
+        f"""SELECT s.id AS shipment_id, 'DOC_RECEIVED' AS event_type, sent_at AS event_time, {AS_OF_EVENTS} AS recorded_at, 'Carrier webhook: ' || kind AS description,
     'WEBHOOK:' || m.carrier_code AS source_system FROM kept m JOIN shipments s ON s.tracking_number = m.reference AND s.carrier_id = m.carrier_id WHERE rn = 1""",
-    """kept AS (SELECT *, row_number() OVER (PARTITION BY webhook_id ORDER BY sent_at, carrier_code, reference) AS rn FROM (
+        """kept AS (SELECT *, row_number() OVER (PARTITION BY webhook_id ORDER BY sent_at, carrier_code, reference) AS rn FROM (
       SELECT 'm' || (e.id // 2) AS webhook_id, c.carrier_code, c.id AS carrier_id, CASE WHEN e.id % 11 = 0 THEN 'LOST-' || e.id ELSE tracking_number END AS reference,
         e.event_type AS kind, e.event_time AS sent_at
       FROM tracking_events e JOIN shipments s ON s.id = e.shipment_id JOIN carriers c ON c.id = s.carrier_id
       WHERE c.is_active AND e.id % 19 <> 0 AND e.id % 17 <> 0 AND e.id % 13 <> 0))""",
-)
+    )
+sql("k3_merged_cascades", "SELECT * EXCLUDE (tracking_number) FROM (" + CASCADE.replace(f" AND te1.event_time >= {AS_OF_EVENTS} - INTERVAL 30 DAY", "") + ")")
 sql(
     "k4_late_events",
     """SELECT id, CAST(date_diff('second', event_time, recorded_at) AS BIGINT) AS lag_seconds, CASE WHEN recorded_at > event_time + INTERVAL 24 HOUR THEN 'late' ELSE 'in time' END AS kind
