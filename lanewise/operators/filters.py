@@ -49,6 +49,13 @@ def trend_window(df: DataFrame, as_of: str, months: int) -> DataFrame:
     return departed_since(df, as_of, months * 30)
 
 
+def trend_window_corrected(df: DataFrame, as_of: str, months: int = 12) -> DataFrame:
+    """Departures from the first day of the month ``months`` calendar months before, so that no month shown is partial at its start."""
+    check_range("months", months, 1, 24)
+    since = F.add_months(F.trunc(C.instant(as_of).cast("date"), "month"), -months)
+    return df.filter(F.col("departure_date") >= since.cast("timestamp"))
+
+
 def check_range(name: str, value: int, low: int, high: int) -> None:
     if not isinstance(value, int) or isinstance(value, bool) or not low <= value <= high:
         raise ValueError(f"{name} must be an integer from {low} to {high}, got {value!r}")
@@ -90,6 +97,7 @@ class ShipmentCriteria:
     carrier_id: object = None
     departure_after: str | None = None
     departure_before: str | None = None
+    departure_through: str | None = None
     min_value: Decimal | None = None
     max_value: Decimal | None = None
     is_delayed: bool | None = None
@@ -97,7 +105,7 @@ class ShipmentCriteria:
 
 def matching(df: DataFrame, criteria: ShipmentCriteria, as_of: str, carriers: DataFrame | None = None) -> DataFrame:
     """Apply the criteria. Dates are midnight instants, so later departures on the
-    ``departure_before`` day are out. A carrier must exist and be active to match."""
+    ``departure_before`` day are out; ``departure_through`` takes the whole day. A carrier must exist and be active to match."""
     c = criteria
     tests: list[Column] = []
     if c.statuses:
@@ -106,6 +114,8 @@ def matching(df: DataFrame, criteria: ShipmentCriteria, as_of: str, carriers: Da
         tests.append(F.col("departure_date") >= C.instant(c.departure_after))
     if c.departure_before is not None:
         tests.append(F.col("departure_date") <= C.instant(c.departure_before))
+    if c.departure_through is not None:
+        tests.append(F.col("departure_date") < C.instant(c.departure_through) + F.make_dt_interval(days=F.lit(1)))
     if c.min_value is not None:
         tests.append(F.col("declared_value") >= F.lit(c.min_value))
     if c.max_value is not None:

@@ -564,6 +564,22 @@ def e8_messages_by_row(b):
     return parsed.select("carrier_code", "received_at", F.when(F.col("reason").isNull(), F.col("webhook_id")).alias("webhook_id"), "reason")
 
 
+@query
+def c14_departed_through(b):
+    criteria = ShipmentCriteria(departure_after="1997-01-01", departure_through="1997-03-31")
+    return filters.matching(b.shipments, criteria, AS_OF).select("id", "departure_date")
+
+
+@query
+def h2_recent_trend_corrected(b):
+    return reports.recent_volume_trend_corrected(b.shipments, AS_OF, 6)
+
+
+@query
+def h13_transit_percentiles_corrected(b):
+    return reports.transit_percentiles_corrected(b.shipments)
+
+
 @query
 def h13_percentiles_of_two_carriers(b):
     """One carrier of the fleet and one id that no delivery has."""

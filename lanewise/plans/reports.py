@@ -98,6 +98,11 @@ def recent_volume_trend(shipments: DataFrame, as_of: str, months: int = 12) -> D
     return monthly_volume_trend(filters.trend_window(shipments, as_of, months))
 
 
+def recent_volume_trend_corrected(shipments: DataFrame, as_of: str, months: int = 12) -> DataFrame:
+    """Calendar months instead of spans of 30 days."""
+    return monthly_volume_trend(filters.trend_window_corrected(shipments, as_of, months))
+
+
 def route_utilization(shipments: DataFrame, routes: DataFrame, as_of: str) -> DataFrame:
     """Per route: shipments, mean transit time (0 when none arrived) and delays."""
     transit = C.elapsed_micros(F.col("actual_arrival"), F.col("departure_date"))
@@ -162,18 +167,27 @@ def transit_percentiles(shipments: DataFrame, *carrier_ids) -> DataFrame:
     percentile of exactly 0 days shows as NULL, as the published report does. Carriers asked for by id always have a row, without
     deliveries one of NULL, NULL and 0.
     """
+    return _transit_percentiles(shipments, carrier_ids, zero_is_null=True)
+
+
+def transit_percentiles_corrected(shipments: DataFrame, *carrier_ids) -> DataFrame:
+    """The same with a percentile of exactly 0 days as 0."""
+    return _transit_percentiles(shipments, carrier_ids, zero_is_null=False)
+
+
+def _transit_percentiles(shipments: DataFrame, carrier_ids: tuple, zero_is_null: bool) -> DataFrame:
     done = shipments.filter("status = 'DELIVERED' AND actual_arrival IS NOT NULL AND departure_date IS NOT NULL")
     if carrier_ids:
         done = done.filter(F.col("carrier_id").isin(*carrier_ids))
     timed = done.select("carrier_id", C.elapsed_micros(F.col("actual_arrival"), F.col("departure_date")).alias("_micros"))
-    found = _percentiles(timed, "carrier_id", "_micros", {"median_days": 0.5, "p95_days": 0.95})
+    found = _percentiles(timed, "carrier_id", "_micros", {"median_days": 0.5, "p95_days": 0.95}, zero_is_null)
     if not carrier_ids:
         return found
     named = shipments.sparkSession.createDataFrame([(c,) for c in dict.fromkeys(carrier_ids)], StructType([shipments.schema["carrier_id"]]))
     return named.join(found, "carrier_id", "left").withColumn("sample_size", F.coalesce("sample_size", F.lit(0)))
 
 
-def _percentiles(df: DataFrame, group: str, micros: str, wanted: dict[str, float]) -> DataFrame:
+def _percentiles(df: DataFrame, group: str, micros: str, wanted: dict[str, float], zero_is_null: bool) -> DataFrame:
     rows, levels = with_levels(df, [Key(micros, slices=(26,))])
     cells = rows.groupBy(group, *levels).agg(F.count("*").alias("_n"))
     cells = exclusive_scan(cells, [group], levels, sums=["_n"], totals=["_n"])
@@ -188,7 +202,8 @@ def _percentiles(df: DataFrame, group: str, micros: str, wanted: dict[str, float
     for name, p in wanted.items():
         at = F.lit(p) * (F.col("sample_size") - 1)
         lo, hi = F.col(f"_{name}_lo") / F.lit(86_400_000_000.0), F.col(f"_{name}_hi") / F.lit(86_400_000_000.0)
-        out.append(F.nullif(lo + (hi - lo) * (at - F.floor(at)), F.lit(0.0)).alias(name))
+        between = lo + (hi - lo) * (at - F.floor(at))
+        out.append((F.nullif(between, F.lit(0.0)) if zero_is_null else between).alias(name))
     return picked.select(group, *out, "sample_size")
 
 

@@ -657,6 +657,13 @@ PERCENTILES = """SELECT carrier_id, nullif(quantile_cont(d, 0.5), 0) AS median_d
       WHERE status = 'DELIVERED' AND actual_arrival IS NOT NULL AND departure_date IS NOT NULL {more}) GROUP BY 1"""
 sql("h13_transit_percentiles", PERCENTILES.format(more=""))
 sql("h13_transit_percentiles_one_carrier", PERCENTILES.format(more="AND carrier_id = 7"))
+sql("h13_transit_percentiles_corrected", PERCENTILES.format(more="").replace("nullif(quantile_cont(d, 0.5), 0)", "quantile_cont(d, 0.5)").replace("nullif(quantile_cont(d, 0.95), 0)", "quantile_cont(d, 0.95)"))
+sql(
+    "h2_recent_trend_corrected",
+    f"""SELECT CAST(date_trunc('month', departure_date) AS DATE) AS month, count(*) AS shipment_count, CAST(coalesce(sum(declared_value), 0) AS DOUBLE) AS total_declared_value
+    FROM shipments WHERE departure_date >= date_trunc('month', {AS_OF}) - INTERVAL 6 MONTH GROUP BY 1 ORDER BY 1""",
+)
+sql("c14_departed_through", "SELECT id, departure_date FROM shipments WHERE departure_date >= TIMESTAMP '1997-01-01' AND departure_date < TIMESTAMP '1997-04-01'")
 sql(
     "h13_percentiles_of_two_carriers",
     f"""SELECT carrier_id, median_days, p95_days, coalesce(sample_size, 0) AS sample_size FROM (SELECT unnest([7, -1])::BIGINT AS carrier_id)
