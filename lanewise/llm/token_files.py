@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from lanewise.llm.shared import shared_folder, whole_text
 
 MANIFEST = "shard long, file string, n_docs long, n_ids long"
-#: Encoded pieces a worker remembers; a piece beyond them is encoded again each time.
-PIECES = 1_000_000
+#: Encoded pieces a worker remembers, and the characters of the longest; others are encoded again each time.
+PIECES, LONGEST_PIECE = 1_000_000, 64
 _INNER_SPACE = re.compile(r" (?=\s|$)")
 _SPLIT = re.compile(r" (?=\S)")
 
@@ -49,7 +49,7 @@ class _Pieces(dict):
 
     def __missing__(self, piece: str) -> bytes:
         ids = self.encode(" " + piece)
-        if len(self) < PIECES:
+        if len(self) < PIECES and len(piece) <= LONGEST_PIECE:
             self[piece] = ids
         return ids
 
