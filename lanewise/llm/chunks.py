@@ -22,6 +22,8 @@ from lanewise.llm.shared import stored, whole_text
 
 CHUNKS = "chunk long, doc_ids array<long>, ends array<long>, body binary"
 MESSAGES = "bucket int, chunk long, message binary"
+#: Chunks that a worker gets at once, where the step is stored.
+BATCH = 4
 ANSWERS = "bucket int, chunk long, answer binary"
 
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,6 +36,19 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
+@contextlib.contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Session settings for the queries that run inside."""
+    before = {name: spark.conf.get(name, None) for name in values}
+    for name, value in values.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value) if value is not None else spark.conf.unset(name)
+
+
 def stored(df: DataFrame, folder: str | None = None, batch_rows: int | None = None) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read back: what follows starts there, also after a lost executor.
 
@@ -41,15 +56,8 @@ def stored(df: DataFrame, folder: str | None = None, batch_rows: int | None = No
     """
     spark = df.sparkSession
     path = folder or shared_folder(spark)
-    settings = {CLEANUP: "true"} | ({BATCH_ROWS: str(batch_rows)} if batch_rows else {})
-    before = {name: spark.conf.get(name, None) for name in settings}
-    for name, value in settings.items():
-        spark.conf.set(name, value)
-    try:
+    with settings(spark, {CLEANUP: "true"} | ({BATCH_ROWS: str(batch_rows)} if batch_rows else {})):
         df.write.mode("overwrite").parquet(path)
-    finally:
-        for name, value in before.items():
-            spark.conf.set(name, value) if value is not None else spark.conf.unset(name)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -20,7 +20,7 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of the multiplier and of its inverse, modulo 2**64."""
     if len(_powers[0]) < n:
         for k, factor in enumerate((_ODD, pow(_ODD, -1, _WHOLE))):
-            steps = np.full(2 * n, factor, np.uint64)
+            steps = np.full(n + n // 8, factor, np.uint64)
             steps[0] = 1
             _powers[k] = np.cumprod(steps)
     return _powers[0][:n], _powers[1][:n]
