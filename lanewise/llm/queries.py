@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lanewise.llm import decontamination, exact_dedup, jaccard, language_model, mixing, quality, suffix_dedup, token_counts, token_files
+from lanewise.llm import decontamination, exact_dedup, jaccard, language_model, licenses, mixing, quality, suffix_dedup, token_counts, token_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,6 +52,10 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(_table(spark, sf_dir, "documents"), licenses.known_licenses(spark))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -65,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_language_model": op6_language_model,
     "op7_source_mix": op7_source_mix,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_license_scan": op9_license_scan,
     "op10_quality": op10_quality,
 }
 
@@ -73,4 +78,5 @@ SQL: dict[str, str] = {
     "op2_decontamination": decontamination.SQL,
     "op7_source_mix": mixing.SQL,
     "op8_exact_dedup": exact_dedup.SQL,
+    "op9_license_scan": licenses.sql(),
 }

@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from lanewise.llm import chunks, decontamination, exact_dedup, jaccard, suffix_dedup
+from lanewise.llm import chunks, decontamination, exact_dedup, jaccard, licenses, suffix_dedup
 from lanewise.llm.components import components
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -208,3 +208,13 @@ def test_cover():
 def test_key_planes_round_trip():
     keys = np.sort(np.random.default_rng(0).integers(0, 1 << 64, 1000, dtype=np.uint64))
     assert (chunks.from_planes(chunks.planes(keys)) == keys).all() and len(chunks.from_planes(b"")) == 0
+
+
+def test_license_scan(spark, nasty, none):
+    mit = licenses.KNOWN["MIT"]
+    forms = ["Copyright (c) 2020 A\n (c) B\n\n" + mit, mit.upper().replace("\n", "  \n * "), mit.replace("sublicense", "sublicence") + "\n\u00a9 me", mit + " more", "", None]
+    docs = spark.createDataFrame(list(enumerate(forms)), "doc_id long, text string")
+    found = licenses.license_scan(docs, licenses.known_licenses(spark)).orderBy("doc_id").collect()
+    assert [r["license_id"] for r in found] == ["MIT"] * 3 + [None] * 3 and len({r["canonical_sha256"] for r in found[:3]}) == 1
+    assert licenses.license_scan(nasty, licenses.known_licenses(spark)).filter("NOT is_license").count() == nasty.count()
+    assert licenses.license_scan(none, licenses.known_licenses(spark)).count() == 0
