@@ -1,4 +1,4 @@
-"""Connected components of an edge table by alternating large and small stars; nothing but counts reaches the driver."""
+"""Connected components of an edge table; nothing but single rows reaches the driver."""
 
 from __future__ import annotations
 
@@ -8,28 +8,50 @@ from pyspark.sql import functions as F
 from lanewise.llm.shared import stored
 
 
-def _star(pairs: DataFrame, among: DataFrame) -> DataFrame:
-    """``pairs`` (node, other) with each node's least neighbour or itself, from ``among``."""
-    least = among.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("least"))
-    return pairs.join(least, "node")
+def _roots(parents: DataFrame) -> DataFrame:
+    """``node, parent`` with each parent replaced by the root of its tree. Parents are less than their nodes, so there are no cycles.
+
+    Every round doubles the distance that a node looks up.
+    """
+    while True:
+        up = parents.select(F.col("node").alias("via"), F.col("parent").alias("above"))
+        jumped = parents.join(up, F.col("parent") == F.col("via"), "left")
+        jumped = stored(jumped.select("node", F.coalesce("above", "parent").alias("parent"), F.col("above").isNotNull().alias("moved")))
+        parents = jumped.select("node", "parent")
+        if jumped.filter("moved").isEmpty():
+            return parents
+
+
+def _renamed(df: DataFrame, column: str, names: DataFrame, node: str, name: str) -> DataFrame:
+    """``df`` with ``column`` looked up in ``names``, unchanged where there is none."""
+    found = names.select(F.col(node).alias("_node"), F.col(name).alias("_name"))
+    return df.join(found, F.col(column) == F.col("_node"), "left").withColumn(column, F.coalesce("_name", column)).drop("_node", "_name")
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """``node, component`` for all nodes of ``edges`` (``a, b``): the least node reachable.
+    """``node, component`` for all nodes of ``edges`` (``a, b``): the least node reachable. No edges: no rows.
 
-    Every round halves the distance to the least node; rounds end when the edges are all stars. No edges: no rows.
+    A round hooks every node to its least neighbour if that is less than itself, follows the hooks to their roots, and goes on
+    with the edges between different roots, until there are none.
     """
-    now = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b").distinct())
-    mark = None
+    names = None
     while True:
-        both = now.select(F.col("a").alias("node"), F.col("b").alias("other")).union(now.select("b", "a"))
-        large = _star(both, both).filter("other > node").select(F.col("other").alias("node"), F.col("least").alias("other")).distinct()
-        down = large.filter("node > other")
-        small = _star(down, down).select(F.col("other").alias("a"), F.col("least").alias("b")).union(down.groupBy("node").agg(F.min("other").alias("b")).select(F.col("node").alias("a"), "b"))
-        now = stored(small.filter("a > b").distinct())
-        state = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if state == mark:
+        edges = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b").distinct())
+        if edges.isEmpty():
             break
-        mark = state
-    stars = now.groupBy("a").agg(F.min("b").alias("component"))
-    return stored(stars.select(F.col("a").alias("node"), "component").union(stars.select(F.col("component").alias("node"), "component").distinct()))
+        roots = _roots(edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("parent")))
+        if names is None:
+            names = roots.select("node", F.col("parent").alias("component"))
+        else:
+            names = stored(_renamed(names, "component", roots, "node", "parent").unionByName(roots.select("node", F.col("parent").alias("component"))))
+        edges = _renamed(_renamed(edges, "a", roots, "node", "parent"), "b", roots, "node", "parent")
+    if names is None:
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    return names.unionByName(names.select(F.col("component").alias("node"), "component").distinct())
+
+
+def joined(found: DataFrame, links: DataFrame) -> DataFrame:
+    """``found`` (``node, component``, every node) with the components that ``links`` (``a, b``) connect made one."""
+    edges = _renamed(_renamed(links, "a", found, "node", "component"), "b", found, "node", "component").filter("a <> b")
+    between = components(edges)
+    return stored(_renamed(found, "component", between, "node", "component"))

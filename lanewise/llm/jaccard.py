@@ -3,9 +3,11 @@
 1. Every distinct shingle of every text is counted over all texts. A text with too few shingles that occur elsewhere has no
    partner and is done.
 2. Equal sets become one class. Of each class, the prefix that any partner must share a shingle with, in order from rare to common,
-   puts it into tiles: one for each prefix shingle and size band, as partners are in the same band or the next.
-3. In a tile every set is held against one pivot first. Only pairs of a tile whose components still differ are looked at then:
-   bit counts of two signatures bound the overlap from above, and what the bound leaves is intersected exactly.
+   puts it into tiles: one for each prefix shingle and size band, as partners are in the same band or the next. Tiles with the
+   same least member, their pivot, are one tile.
+3. Every set is held against the pivot of most of its tiles first, then, as long as a quarter of these pairs link, against its
+   nearest other by signature. Only pairs of a tile whose components still differ are looked at then: bit counts of two signatures bound
+   the overlap from above, and what the bound leaves is intersected exactly.
 
 Links inside one component need not be found, so a tile of near copies costs its size, not its square.
 """
@@ -21,8 +23,8 @@ from pyspark.sql import functions as F
 
 from lanewise.llm import chunks as ch
 from lanewise.llm import textblocks
-from lanewise.llm.components import components
-from lanewise.llm.shared import stored
+from lanewise.llm.components import joined
+from lanewise.llm.shared import stored, unused
 
 WORDS = 5
 #: Least similarity in hundredths.
@@ -89,8 +91,8 @@ def _needed(n: np.ndarray) -> np.ndarray:
 
 
 def signature_bits(n: int) -> int:
-    """A power of two of at least twice the set's size."""
-    return max(64, 1 << int(2 * n - 1).bit_length())
+    """A power of two of at least eight times the set's size, so that few elements share a bit."""
+    return max(64, 1 << int(8 * n - 1).bit_length())
 
 
 def signature(hashes: np.ndarray, n: int) -> bytes:
@@ -99,7 +101,7 @@ def signature(hashes: np.ndarray, n: int) -> bytes:
     return np.packbits((np.bincount((hashes % np.uint64(bits)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
 
 
-def _folded(signatures: list[bytes], size: int) -> np.ndarray:
+def _folded(signatures: list, size: int) -> np.ndarray:
     """Signatures as rows of 64-bit words, longer ones folded to ``size`` bytes; parity makes folding exact."""
     rows = np.empty((len(signatures), size), np.uint8)
     for k, s in enumerate(signatures):
@@ -150,90 +152,97 @@ def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The pairs whose exact similarity suffices."""
+    """The pairs whose exact similarity suffices. Pairs that the bit counts rule out are not intersected."""
     for batch in batches:
         yes = []
         for k in range(batch.num_rows):
-            a, b = (ch.from_planes(batch.column(c)[k].as_buffer()) for c in ("hashes_a", "hashes_b"))
-            shared = len(np.intersect1d(a, b, assume_unique=True))
-            union = batch.column("n_a")[k].as_py() + batch.column("n_b")[k].as_py() - shared
-            yes.append(100 * shared >= PERCENT * union)
+            n_a, n_b = (batch.column(c)[k].as_py() for c in ("n_a", "n_b"))
+            signs = [np.frombuffer(batch.column(c)[k].as_buffer(), np.uint8) for c in ("signature_a", "signature_b")]
+            size = min(map(len, signs))
+            shared = 0
+            if _may_link(n_a, n_b, int(np.bitwise_count(_folded(signs[:1], size) ^ _folded(signs[1:], size)).sum())):
+                shared = len(np.intersect1d(*(ch.from_planes(batch.column(c)[k].as_buffer()) for c in ("hashes_a", "hashes_b")), assume_unique=True))
+            yes.append(100 * shared >= PERCENT * (n_a + n_b - shared))
         yield pa.RecordBatch.from_arrays([c.filter(pa.array(yes, pa.bool_())) for c in (batch.column("a"), batch.column("b"))], ["a", "b"])
 
 
-def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of the pairs (a, b), those that the bit counts of the signatures do not rule out."""
-    for batch in batches:
-        keep = []
-        for k in range(batch.num_rows):
-            s, t = batch.column("signature_a")[k].as_py(), batch.column("signature_b")[k].as_py()
-            size = min(len(s), len(t))
-            apart = int(np.bitwise_count(_folded([s], size) ^ _folded([t], size)).sum())
-            keep.append(_may_link(batch.column("n_a")[k].as_py(), batch.column("n_b")[k].as_py(), apart))
-        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-
 def _may_link(n_a, n_b, apart):
     """Bits that differ are elements of one set only, so the overlap is at most (n_a + n_b - apart) / 2."""
     most = np.minimum((n_a + n_b - apart) // 2, np.minimum(n_a, n_b))
     return 100 * most >= PERCENT * (n_a + n_b - most)
 
 
-def _tile_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From each tile (or part of one), pairs of different components that the bit counts do not rule out."""
-    for batch in batches:
-        found_a, found_b = [], []
-        for k in range(batch.num_rows):
-            members = batch.column("members")[k].as_py()
-            across = batch.column("across")[k].as_py()
-            members.sort(key=lambda m: (m["n"], m["row"]))
-            n = np.array([m["n"] for m in members])
-            row, component = np.array([m["row"] for m in members]), np.array([m["component"] for m in members])
-            major = np.array([m["major"] for m in members])
-            size = min(len(m["signature"]) for m in members)
-            bits = _folded([m["signature"] for m in members], size)
-            for i in range(len(members) - 1):
-                last = int(np.searchsorted(n, n[i] * 100 // PERCENT, "right"))
-                others = np.arange(i + 1, max(i + 1, last))
-                others = others[(component[others] != component[i]) & ((major[others] != major[i]) if across else True)]
-                if len(others):
-                    apart = np.bitwise_count(bits[others] ^ bits[i]).sum(1).astype(np.int64)
-                    others = others[_may_link(n[i], n[others], apart)]
-                    found_a.append(np.full(len(others), row[i]))
-                    found_b.append(row[others])
-        a, b = (np.concatenate([np.zeros(0, np.int64), *f]) for f in (found_a, found_b))
-        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())], ["a", "b"])
+def _tile_pairs(nearest: bool):
+    """From each tile (or part of one), pairs of different components that the bit counts do not rule out.
+
+    ``nearest``: of each member only the pair with the fewest bits apart. ``apart`` is their number.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists, across = batch.column("members"), batch.column("across").to_pylist()
+            edges = lists.offsets.to_numpy()
+            fields = {c: lists.values.field(c) for c in ("row", "n", "component", "major", "signature")}
+            row, n, component = (fields[c].to_numpy() for c in ("row", "n", "component"))
+            major = fields["major"].to_numpy(zero_copy_only=False)
+            bits, ends = textblocks.text_bytes(fields["signature"])
+            found_a, found_b, found_bits = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for k, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+                own = a + np.lexsort((row[a:b], n[a:b]))
+                signs = _folded([bits[ends[m] : ends[m + 1]] for m in own], int(np.diff(ends[a : b + 1]).min()))
+                sizes = n[own]
+                lasts = np.searchsorted(sizes, sizes * 100 // PERCENT, "right")
+                for i in range(len(own) - 1):
+                    others = np.arange(i + 1, max(i + 1, lasts[i]))
+                    others = others[component[own[others]] != component[own[i]]]
+                    if across[k]:
+                        others = others[major[own[others]] != major[own[i]]]
+                    if len(others):
+                        apart = np.bitwise_count(signs[others] ^ signs[i]).sum(1).astype(np.int64)
+                        may = np.flatnonzero(_may_link(sizes[i], sizes[others], apart))
+                        if nearest and len(may):
+                            may = may[[np.argmin(apart[may])]]
+                        found_a.append(np.full(len(may), row[own[i]]))
+                        found_b.append(row[own[others[may]]])
+                        found_bits.append(apart[may])
+            columns = [pa.array(np.concatenate(f), pa.int64()) for f in (found_a, found_b, found_bits)]
+            yield pa.RecordBatch.from_arrays(columns, ["a", "b", "apart"])
+
+    return run
 
 
 def _exact(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) that link: first by signatures, then by whole sets."""
-    for columns, test in ((["signature"], _bounded), (["hashes"], _linked)):
-        for side in "ab":
-            own = sets.select(F.col("row").alias(side), F.col("n").alias(f"n_{side}"), *[F.col(c).alias(f"{c}_{side}") for c in columns])
-            pairs = pairs.join(own, side)
-        pairs = stored(pairs.mapInArrow(test, "a long, b long"))
-    return pairs
+    """The pairs (a, b) that link."""
+    for side in "ab":
+        own = sets.select(F.col("row").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in ("n", "signature", "hashes")])
+        pairs = pairs.join(own, side)
+    return stored(pairs.mapInArrow(_linked, "a long, b long"), batch_rows=500)
 
 
-def _undecided(tiles: DataFrame, sets: DataFrame, found: DataFrame) -> DataFrame:
-    """Pairs of a tile whose components differ and whose signatures allow a link.
+def _undecided(tiles: DataFrame, sets: DataFrame, found: DataFrame, nearest: bool) -> DataFrame:
+    """Pairs of a tile whose components differ and whose signatures allow a link: all, or one of each member, the nearest over its tiles.
 
     A tile's largest component is dealt over slices, and its other members over slices of their own; parts of the tile pair
     a slice of the one with a slice of the other, or two slices of the others. No part has over two slices.
     """
-    placed = tiles.join(found.withColumnRenamed("node", "row"), "row", "left").withColumn("component", F.coalesce("component", "row"))
-    counts = placed.groupBy("token", "tile", "component").agg(F.count(F.lit(1)).alias("own"))
-    shape = counts.groupBy("token", "tile").agg(F.max(F.struct("own", "component")).alias("top"), F.sum("own").alias("all"), F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
-    shape = shape.select("token", "tile", F.col("top.component").alias("largest"), F.ceil(F.col("top.own") / SLICE).cast("int").alias("s"), F.ceil((F.col("all") - F.col("top.own")) / SLICE).cast("int").alias("q"))
-    dealt = placed.join(shape, ["token", "tile"]).withColumn("major", F.col("component") == F.col("largest"))
+    placed = tiles.join(found.withColumnRenamed("node", "row"), "row")
+    counts = placed.groupBy("pivot", "component").agg(F.count(F.lit(1)).alias("own"))
+    shape = counts.groupBy("pivot").agg(F.max(F.struct("own", "component")).alias("top"), F.sum("own").alias("all"), F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
+    shape = shape.select("pivot", F.col("top.component").alias("largest"), F.ceil(F.col("top.own") / SLICE).cast("int").alias("s"), F.ceil((F.col("all") - F.col("top.own")) / SLICE).cast("int").alias("q"))
+    dealt = placed.join(shape, "pivot").withColumn("major", F.col("component") == F.col("largest"))
     mine = F.pmod(F.xxhash64("row"), F.when(F.col("major"), F.col("s")).otherwise(F.col("q"))).cast("int")
     upto = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
     mixed = F.when(F.col("major"), F.transform(upto("q"), lambda q: F.struct(F.lit(True).alias("across"), F.col("mine").alias("i"), q.alias("j"))))
     mixed = mixed.otherwise(F.concat(F.transform(upto("s"), lambda s: F.struct(F.lit(True).alias("across"), s.alias("i"), F.col("mine").alias("j"))), F.transform(upto("q"), lambda q: F.struct(F.lit(False).alias("across"), F.least(q, F.col("mine")).alias("i"), F.greatest(q, F.col("mine")).alias("j")))))
-    parts = dealt.withColumn("mine", mine).withColumn("part", F.explode(mixed)).select("token", "tile", "part.*", "row", "component", "major")
+    parts = dealt.withColumn("mine", mine).withColumn("part", F.explode(mixed)).select("pivot", "part.*", "row", "component", "major")
     parts = parts.join(sets.select("row", "n", "signature"), "row")
-    groups = parts.groupBy("token", "tile", "across", "i", "j").agg(F.collect_list(F.struct("row", "n", "component", "major", "signature")).alias("members"))
-    return groups.filter(F.size("members") > 1).select("members", "across").mapInArrow(_tile_pairs, "a long, b long").distinct()
+    groups = parts.groupBy("pivot", "across", "i", "j").agg(F.collect_list(F.struct("row", "n", "component", "major", "signature")).alias("members"))
+    pairs = groups.filter(F.size("members") > 1).select("members", "across").mapInArrow(_tile_pairs(nearest), "a long, b long, apart long")
+    if nearest:
+        pairs = pairs.groupBy("a").agg(F.min(F.struct("apart", "b")).alias("best")).select("a", "best.b")
+    else:
+        pairs = pairs.select("a", "b").distinct()
+    return stored(pairs, batch_rows=16)
 
 
 def jaccard_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -246,9 +255,9 @@ def jaccard_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     """
     texts = ch.chunked(docs, text, doc_id, CHUNK_BYTES)
     bits = ch.bucket_bits(ch.text_volume(texts), BUCKET_BYTES)
-    info = stored(texts.mapInArrow(_sizes, "chunk long, doc_ids array<long>, sizes array<long>"))
+    info = stored(texts.mapInArrow(_sizes, "chunk long, doc_ids array<long>, sizes array<long>"), batch_rows=ch.BATCH)
     answers = ch.answered(ch.asked(texts, _ask(bits)), _repeated)
-    sets = stored(ch.with_answers(info, answers).mapInArrow(_sets, SETS))
+    sets = stored(ch.with_answers(info, answers).mapInArrow(_sets, SETS), batch_rows=ch.BATCH)
     members = sets.select("row", "n", "d1", "d2")
     classes = members.groupBy("n", "d1", "d2").agg(F.min("row").alias("class"))
     members = stored(members.join(classes, ["n", "d1", "d2"]).select("row", "class"))
@@ -257,17 +266,27 @@ def jaccard_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
 
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / PERCENT))).cast("int")
     tokens = sets.select("row", band.alias("band"), F.explode("prefix").alias("token"))
-    tiles = tokens.select("row", "token", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("tile"))
-    shared = tiles.groupBy("token", "tile").agg(F.min("row").alias("pivot"), F.count(F.lit(1)).alias("size")).filter("size > 1")
-    tiles = stored(tiles.join(shared, ["token", "tile"]).select("row", "token", "tile", "pivot"))
-    first = tiles.filter("row > pivot").groupBy("row", "pivot").agg(F.count(F.lit(1)).alias("times")).groupBy("row").agg(F.max(F.struct("times", "pivot")).alias("top"))
-    links = _exact(first.select(F.col("row").alias("a"), F.col("top.pivot").alias("b")), sets)
-    found = components(links)
-    more = _exact(stored(_undecided(tiles.select("row", "token", "tile"), sets, found)), sets)
-    found = components(links.union(more))
+    banded = tokens.select("row", "token", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("tile"))
+    shared = banded.groupBy("token", "tile").agg(F.min("row").alias("pivot"), F.count(F.lit(1)).alias("size")).filter("size > 1")
+    tiles = stored(banded.join(shared, ["token", "tile"]).groupBy("row", "pivot").agg(F.count(F.lit(1)).alias("times")))
+    first = tiles.filter("row > pivot").groupBy("row").agg(F.max(F.struct("times", "pivot")).alias("top"))
+    found = sets.select(F.col("row").alias("node"), F.col("row").alias("component"))
+    found = joined(found, _exact(first.select(F.col("row").alias("a"), F.col("top.pivot").alias("b")), sets))
+    nearest = True
+    while True:
+        pairs = _undecided(tiles.select("row", "pivot"), sets, found, nearest)
+        if pairs.isEmpty():
+            break
+        links = _exact(pairs, sets)
+        if not nearest:
+            found = joined(found, links)
+            break
+        # Rounds that find few links cost more than the last one, which looks at all that is left.
+        nearest = links.count() * 4 >= pairs.count()
+        found = joined(found, links)
 
     rows = info.select("chunk", F.posexplode(F.arrays_zip("doc_ids", "sizes")).alias("at", "x")).select((F.shiftleft("chunk", _ROW_BITS) + F.col("at")).alias("row"), F.col("x.doc_ids").alias("doc_id"), F.col("x.sizes").alias("n_shingles"))
-    grouped = members.join(found.withColumnRenamed("node", "class"), "class", "left").select("row", F.coalesce("component", "class").alias("component"))
+    grouped = members.join(found.withColumnRenamed("node", "class"), "class").select("row", "component")
     grouped = stored(rows.join(grouped, "row", "left").withColumn("component", F.coalesce("component", "row")))
     least = grouped.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     return grouped.join(least, "component").select("doc_id", "n_shingles", "component_id")
@@ -278,8 +297,8 @@ def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
 
     Rows that repeat a doc_id all stay or all go, except copies of one text, of which they are one group and all stay.
     """
-    drop = jaccard_groups(docs, text, doc_id).filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(drop, docs[doc_id].eqNullSafe(drop["__gone"]), "left_anti")
+    drop = jaccard_groups(docs, text, doc_id).filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(unused(docs, "gone"))).distinct()
+    return docs.join(drop, F.col(doc_id).eqNullSafe(F.col(drop.columns[0])), "left_anti")
 
 
 SQL = r"""
