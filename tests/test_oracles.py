@@ -33,3 +33,9 @@ def test_query(spark, con, name):
 def test_entry(spark):
     first = entry.entry(spark)
     assert first.count() > 0 and "volume_rank" in first.columns
+
+
+def test_c19_gives_every_shipment_with_both_codes(spark, con):
+    """In the binding that is every shipment."""
+    found = QUERIES["c19_json_and_codes"](spark, DIRECTORY).filter("test = 'codes'").collect()
+    assert sorted(r["id"] for r in found) == sorted(k for (k,) in con.execute(oracles.BASE + " SELECT id FROM shipments").fetchall())
