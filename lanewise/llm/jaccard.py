@@ -47,7 +47,7 @@ def shingle_keys(data: np.ndarray, offsets: np.ndarray, words: int = WORDS) -> n
     odd = [pow(0x9E3779B97F4A7C15, k + 2, 1 << 64) | 1 for k in range(words)]
     sums = np.zeros(max(0, n - words + 1), np.uint64)
     for k, factor in enumerate(odd):
-        sums += hashes[k : n - words + 1 + k] * np.uint64(factor)
+        sums += hashes[k : len(sums) + k] * np.uint64(factor)
     text = np.repeat(np.arange(len(first) - 1), np.diff(first))
     whole = text[: len(sums)] == text[words - 1 :] if len(sums) else np.zeros(0, bool)
     keys = [(textblocks.mixed_bits(sums[whole]) & ~_LOW) | text[: len(sums)][whole].astype(np.uint64)]

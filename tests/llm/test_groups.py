@@ -7,9 +7,10 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from lanewise.llm import chunks, decontamination, exact_dedup, jaccard, licenses, suffix_dedup
+from lanewise.llm import chunks, decontamination, exact_dedup, jaccard, licenses, suffix_dedup, textblocks
 from lanewise.llm.components import components
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -117,6 +118,24 @@ def test_signatures_bound_overlap_from_above():
         assert (n + m - apart) // 2 >= len(np.intersect1d(a, b))
 
 
+@pytest.mark.parametrize("n", range(6))
+def test_chunks_of_few_words(n):
+    """A chunk may hold less text than one shingle, in one text or in several."""
+    words = [f"w{k}" for k in range(n)]
+    for texts in ([" ".join(words)], [*words], ["", " ".join(words[:1]), " ".join(words[1:]), None]):
+        keys = jaccard.shingle_keys(*textblocks.text_bytes(pa.array(texts, pa.string())))
+        assert np.bincount((keys & jaccard._LOW).astype(int), minlength=len(texts)).tolist() == [len(shingles(t)) for t in texts]
+
+
+def test_jaccard_of_three_words_between_long_texts(spark, monkeypatch):
+    """The three words are a chunk of their own."""
+    monkeypatch.setattr(jaccard, "CHUNK_BYTES", 200)
+    long = " ".join(f"w{k}" for k in range(100))
+    rows = [(1, long), (2, "one two three"), (3, long + " end")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    assert bag(jaccard.jaccard_groups(docs), "doc_id", "n_shingles", "component_id") == brute_groups(rows)
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(1, 40)] + [(100, 90), (90, 95), (7, 7)]
     found = dict(bag(components(spark.createDataFrame(edges, "a long, b long")), "node", "component"))
