@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import textwrap
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -237,3 +238,31 @@ def test_license_scan(spark, nasty, none):
     assert [r["license_id"] for r in found] == ["MIT"] * 3 + [None] * 3 and len({r["canonical_sha256"] for r in found[:3]}) == 1
     assert licenses.license_scan(nasty, licenses.known_licenses(spark)).filter("NOT is_license").count() == nasty.count()
     assert licenses.license_scan(none, licenses.known_licenses(spark)).count() == 0
+
+
+def test_licenses_of_usual_files(spark):
+    """Whole files: with title and copyright lines, other line breaks, filled-in or left-out instructions; nothing else counts."""
+    text = {f.stem: f.read_text("utf-8") for f in licenses.FOLDER.glob("*.txt")}
+    mit, isc, bsd = licenses.KNOWN["MIT"], licenses.KNOWN["ISC"], text["BSD-3-Clause"]
+    apache = text["Apache-2.0"].replace("[yyyy] [name of copyright owner]", "2024 A Company")
+    third = bsd[bsd.index("3. Neither") : bsd.index("THIS SOFTWARE")]
+    wrap = lambda t, n: "\n\n".join(textwrap.fill(" ".join(p.split()), n) for p in t.split("\n\n"))
+    forms = [
+        ("MIT", "MIT License\n\nCopyright (c) 2024 A B\n\n" + mit),
+        ("MIT", "# The MIT License (MIT)\n=====\n\nCopyright (c) 2024 A B\nCopyright (c) 2025 C\n\n" + wrap(mit, 56)),
+        ("ISC", "The ISC License\n\nCopyright (c) A B and Contributors\n\n" + wrap(isc, 72)),
+        ("BSD-3-Clause", "BSD 3-Clause License\n\nCopyright (c) 2024, A B\nAll rights reserved.\n\n" + bsd),
+        ("BSD-3-Clause", "Copyright (c) 2024, A B\n\n" + wrap(bsd, 64).replace("1. ", "* ").replace("2. ", "* ").replace("3. ", "* ")),
+        ("BSD-2-Clause", "Copyright 2024 A B\n\n" + bsd.replace(third, "")),
+        ("Apache-2.0", apache),
+        ("Apache-2.0", apache.replace("http://", "https://")),
+        ("Apache-2.0", apache[: apache.index("END OF TERMS") + 27]),
+        ("GPL-2.0", text["GPL-2.0"][: text["GPL-2.0"].index("END OF TERMS") + 27]),
+        *[(name, text[name]) for name in ("GPL-3.0", "GPL-2.0", "LGPL-3.0", "LGPL-2.1", "MPL-2.0", "CC0-1.0", "Unlicense", "BSL-1.0", "Zlib", "0BSD", "Apache-2.0 WITH LLVM-exception")],
+        (None, text["GPL-3.0"] + "\nand more"),
+        (None, "MIT License"),
+        (None, "Licensed under the Apache License, Version 2.0"),
+    ]
+    docs = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(forms)], "doc_id long, text string")
+    found = licenses.license_scan(docs, licenses.known_licenses(spark)).orderBy("doc_id").collect()
+    assert [r["license_id"] for r in found] == [name for name, _ in forms]
