@@ -12,9 +12,6 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from lanewise.session import local_session  # noqa: E402
 from lanewise.sources.schemas import TABLES  # noqa: E402
 
-AS_OF = "2024-03-01 12:00:00"
-
-
 @pytest.fixture(scope="session")
 def spark():
     session = local_session("4", "tests")
@@ -98,7 +95,3 @@ def _split(ddl: str) -> list[str]:
             parts.append(ddl[start:i].strip())
             start = i + 1
     return [*parts, ddl[start:].strip()]
-
-
-def ids(df) -> set:
-    return {row["id"] for row in df.collect()}

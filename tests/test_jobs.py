@@ -5,7 +5,7 @@ from datetime import datetime, timedelta
 from decimal import Decimal
 
 import pytest
-from conftest import AS_OF
+from freight import AS_OF
 from pyspark.sql import functions as F
 
 from lanewise.functions import columns as C

@@ -3,7 +3,7 @@ from __future__ import annotations
 from decimal import Decimal
 
 import pytest
-from conftest import AS_OF, ids
+from freight import AS_OF, ids
 from pyspark.sql import functions as F
 
 from lanewise.functions import columns as C

@@ -5,7 +5,7 @@ import time
 from datetime import datetime
 
 import pytest
-from conftest import AS_OF
+from freight import AS_OF
 from pyspark.sql import functions as F
 
 from lanewise.functions import columns as C
