@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lanewise.llm import decontamination, exact_dedup, jaccard, language_model, licenses, mixing, quality, suffix_dedup, token_counts, token_files
+from lanewise.llm import decontamination, exact_dedup, fill_in_middle, jaccard, language_model, licenses, mixing, quality, suffix_dedup, token_counts, token_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,6 +60,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.fill_in_middle_digests(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jaccard_groups": op1_jaccard_groups,
     "op2_decontamination": op2_decontamination,
@@ -71,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_license_scan": op9_license_scan,
     "op10_quality": op10_quality,
+    "op11_fill_in_middle": op11_fill_in_middle,
 }
 
 SQL: dict[str, str] = {
@@ -79,4 +84,5 @@ SQL: dict[str, str] = {
     "op7_source_mix": mixing.SQL,
     "op8_exact_dedup": exact_dedup.SQL,
     "op9_license_scan": licenses.sql(),
+    "op11_fill_in_middle": fill_in_middle.SQL,
 }
