@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lanewise.llm import decontamination, exact_dedup, fill_in_middle, jaccard, language_model, licenses, mixing, quality, suffix_dedup, token_counts, token_files
+from lanewise.llm import decontamination, exact_dedup, fill_in_middle, html_text, jaccard, language_model, licenses, mixing, quality, suffix_dedup, token_counts, token_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,6 +64,10 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_in_middle.fill_in_middle_digests(_table(spark, sf_dir, "documents"))
 
 
+def op12_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.page_texts(_table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jaccard_groups": op1_jaccard_groups,
     "op2_decontamination": op2_decontamination,
@@ -76,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_license_scan": op9_license_scan,
     "op10_quality": op10_quality,
     "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_html_text": op12_html_text,
 }
 
 SQL: dict[str, str] = {
