@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lanewise.llm import decontamination, exact_dedup, fill_in_middle, html_text, jaccard, language_model, licenses, mixing, quality, suffix_dedup, token_counts, token_files
+from lanewise.llm import decontamination, exact_dedup, fill_in_middle, hard_negatives, html_text, jaccard, language_model, licenses, mixing, quality, suffix_dedup, token_counts, token_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,6 +68,10 @@ def op12_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.page_texts(_table(spark, sf_dir, "pages"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.hard_negatives(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jaccard_groups": op1_jaccard_groups,
     "op2_decontamination": op2_decontamination,
@@ -81,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality": op10_quality,
     "op11_fill_in_middle": op11_fill_in_middle,
     "op12_html_text": op12_html_text,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 SQL: dict[str, str] = {
@@ -90,4 +95,5 @@ SQL: dict[str, str] = {
     "op8_exact_dedup": exact_dedup.SQL,
     "op9_license_scan": licenses.sql(),
     "op11_fill_in_middle": fill_in_middle.SQL,
+    "op13_hard_negatives": hard_negatives.SQL,
 }
