@@ -22,11 +22,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lanewise.llm import textblocks
 from lanewise.llm.shared import shared_folder, whole_text
 
 MANIFEST = "shard long, file string, n_docs long, n_ids long"
-#: Encoded pieces a worker remembers, and the characters of the longest; others are encoded again each time.
-PIECES, LONGEST_PIECE = 1_000_000, 64
+#: Encoded pieces that a worker remembers, and their characters; others are encoded again each time.
+PIECES, CHARACTERS = 1_000_000, 32_000_000
+#: Characters that are split at once, and bytes of text whose new pieces are encoded at once.
+PART, SLICE_BYTES = 1_000_000, 2_000_000
+#: How byte-level vocabularies write the space.
+_SPACE_BYTE = "\u0120"
 _INNER_SPACE = re.compile(r" (?=\s|$)")
 _SPLIT = re.compile(r" (?=\S)")
 
@@ -41,52 +46,114 @@ def _splits_at_spaces(path: str) -> bool:
 
 
 class _Pieces(dict):
-    """piece -> its ids as bytes, as they are behind a space."""
+    """piece -> its number; ids of pieces one after the other, those of piece k at ``starts[k]:starts[k + 1]``.
 
-    def __init__(self, encode: Callable[[str], bytes]):
-        super().__init__()
-        self.encode = encode
-
-    def __missing__(self, piece: str) -> bytes:
-        ids = self.encode(" " + piece)
-        if len(self) < PIECES and len(piece) <= LONGEST_PIECE:
-            self[piece] = ids
-        return ids
-
-
-_LOADED: dict[tuple, Callable[[str], bytes]] = {}
-
-
-def encoder(path: str, kind: str) -> Callable[[str], bytes]:
-    """text -> ids as bytes of integers of ``kind``, equal to the library's ids of the whole text without added special tokens.
+    A piece stands for itself behind a space; one that begins with two spaces for what follows them, at a text's beginning.
+    """
 
-    Pieces between spaces repeat a lot, so each is encoded by the library once and looked up from then on.
+    def __init__(self, encode: Callable[[str], np.ndarray], opens: np.ndarray):
+        super().__init__()
+        self.encode, self.opens, self.fresh = encode, opens, []
+        self.ids, self.starts, self.characters = np.zeros(1 << 16, np.uint32), np.zeros(1 << 12, np.int64), 0
+
+    def __missing__(self, piece: str) -> int:
+        number = self[piece] = len(self)
+        self.fresh.append(piece)
+        return number
+
+    def encode_fresh(self) -> None:
+        """Pieces met since the last call, the common ones in one call of the library: each begins with a token that opens with the space."""
+        known = len(self) - len(self.fresh)
+        found: list[np.ndarray | None] = [None] * len(self.fresh)
+        plain = [k for k, p in enumerate(self.fresh) if " " not in p]
+        if plain:
+            ids = self.encode("".join([" " + self.fresh[k] for k in plain]))
+            parts = np.split(ids, np.flatnonzero(self.opens[ids])[1:])
+            if len(parts) == len(plain):
+                for k, part in zip(plain, parts, strict=True):
+                    found[k] = part
+        for k, piece in enumerate(self.fresh):
+            if found[k] is None:
+                found[k] = self.encode(piece[2:] if piece.startswith("  ") else " " + piece)
+        if found:
+            ends = self.starts[known] + np.cumsum([len(f) for f in found])
+            while len(self.starts) <= len(self):
+                self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
+            while len(self.ids) < ends[-1]:
+                self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+            self.ids[self.starts[known] : ends[-1]] = np.concatenate(found)
+            self.starts[known + 1 : len(self) + 1] = ends
+
+    def forget(self) -> None:
+        """Of the pieces met since the last call, keep all while there is room, else none."""
+        size = sum(map(len, self.fresh))
+        if len(self) <= PIECES and self.characters + size <= CHARACTERS:
+            self.characters += size
+        else:
+            for piece in self.fresh:
+                del self[piece]
+        self.fresh = []
+
+    def gathered(self, numbers: np.ndarray) -> np.ndarray:
+        first, size = self.starts[numbers], self.starts[numbers + 1] - self.starts[numbers]
+        before = np.cumsum(size) - size
+        return self.ids[np.arange(size.sum()) + np.repeat(first - before, size)]
+
+
+_LOADED: dict[str, Callable[[list[str]], list[np.ndarray]]] = {}
+
+
+def encoder(path: str) -> Callable[[list[str]], list[np.ndarray]]:
+    """texts -> the ids of each, equal to the library's ids of the whole text without added special tokens.
+
+    Pieces between spaces repeat a lot, so each is encoded by the library once and its ids are gathered from then on.
     Texts with a special token's string go to the library whole.
     """
-    if (path, kind) in _LOADED:
-        return _LOADED[path, kind]
+    if path in _LOADED:
+        return _LOADED[path]
     from tokenizers import Tokenizer
 
     model = Tokenizer.from_file(path)
     model.no_truncation()
     model.no_padding()
 
-    def encode(text: str) -> bytes:
-        return np.array(model.encode(text, add_special_tokens=False).ids, kind).tobytes()
+    def encode(text: str) -> np.ndarray:
+        return np.array(model.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
 
     if not _splits_at_spaces(path):
-        _LOADED[path, kind] = encode
-        return encode
-    pieces, special = _Pieces(encode), [t.content for t in model.get_added_tokens_decoder().values()]
+        _LOADED[path] = lambda texts: [encode(t) for t in texts]
+        return _LOADED[path]
+    opens = np.zeros(max(model.get_vocab().values()) + 1, bool)
+    opens[[k for token, k in model.get_vocab().items() if token.startswith(_SPACE_BYTE)]] = True
+    pieces, special = _Pieces(encode, opens), [t.content for t in model.get_added_tokens_decoder().values()]
+
+    def by_pieces(texts: list[str]) -> list[np.ndarray]:
+        numbers: list[list[np.ndarray]] = []
+        for text in texts:
+            own: list[np.ndarray] = []
+            if text and not any(s in text for s in special):
+                for k, part in enumerate(_parts(text)):
+                    split = _SPLIT.split(part) if _INNER_SPACE.search(part) else part.split(" ")
+                    if k == 0:
+                        split[0] = "  " + split[0]
+                    own.append(np.fromiter(map(pieces.__getitem__, split), np.int64, len(split)))
+            numbers.append(own)
+        pieces.encode_fresh()
+        found = [pieces.gathered(np.concatenate(own)) if own else encode(text) for own, text in zip(numbers, texts, strict=True)]
+        pieces.forget()
+        return found
+
+    _LOADED[path] = by_pieces
+    return by_pieces
 
-    def by_pieces(text: str) -> bytes:
-        if any(s in text for s in special):
-            return encode(text)
-        first, *rest = _SPLIT.split(text) if _INNER_SPACE.search(text) else text.split(" ")
-        return (encode(first) if first else b"") + b"".join(map(pieces.__getitem__, rest))
 
-    _LOADED[path, kind] = by_pieces
-    return by_pieces
+def _parts(text: str) -> Iterator[str]:
+    """A long text in parts, each but the first without the space that it begins with."""
+    at = 0
+    while len(text) - at > PART and (cut := _SPLIT.search(text, at + PART)):
+        yield text[at : cut.start()]
+        at = cut.end()
+    yield text[at:]
 
 
 def id_kind(path: str, end_id: int) -> str:
@@ -98,21 +165,21 @@ def id_kind(path: str, end_id: int) -> str:
 
 def _write(folder: str, tokenizer: str, end_id: int, kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = encoder(tokenizer, kind), np.array([end_id], kind).tobytes()
+        encode, end = encoder(tokenizer), np.array([end_id], kind).tobytes()
         store, root = pafs.FileSystem.from_uri(folder)
         shard, stream = TaskContext.get().partitionId(), None
         name = f"{shard:06d}-{uuid.uuid4().hex[:12]}"
         lengths, ids, given = [], [], []
         for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("body").to_pylist(), strict=True):
-                if stream is None:
-                    store.create_dir(root, recursive=True)
-                    stream = store.open_output_stream(f"{root}/{name}.bin")
-                coded = encode(text) + end
-                stream.write(coded)
-                lengths.append(len(coded) // int(kind[-1]))
-                ids.append(doc_id or 0)
-                given.append(doc_id is not None)
+            if stream is None and batch.num_rows:
+                store.create_dir(root, recursive=True)
+                stream = store.open_output_stream(f"{root}/{name}.bin")
+            for part in textblocks.slices(batch.column("body"), SLICE_BYTES):
+                for coded in encode(part.to_pylist()):
+                    stream.write(coded.astype(kind).tobytes() + end)
+                    lengths.append(len(coded) + 1)
+            ids += [d or 0 for d in batch.column("doc_id").to_pylist()]
+            given += batch.column("doc_id").is_valid().to_pylist()
         if stream is None:
             return
         stream.close()

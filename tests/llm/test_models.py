@@ -81,7 +81,7 @@ def test_pieces_encode_as_the_whole_text():
     from tokenizers import Tokenizer
 
     path = tokenizer_file("byte_bpe_50k.json")
-    model, ours = Tokenizer.from_file(path), token_files.encoder(path, "<u4")
+    model, ours = Tokenizer.from_file(path), token_files.encoder(path)
 
     pieces = [*"ab 's\n\t \x1c\x85,.1é日", "　", "  ", "<|endoftext|>", " '", "'ll"]
 
@@ -89,11 +89,25 @@ def test_pieces_encode_as_the_whole_text():
     @given(st.lists(st.sampled_from(pieces), max_size=25))
     def same(parts):
         text = "".join(parts)
-        assert np.frombuffer(ours(text), "<u4").tolist() == model.encode(text, add_special_tokens=False).ids
+        assert [x.tolist() for x in ours([text, "", text])] == [model.encode(t, add_special_tokens=False).ids for t in (text, "", text)]
 
     same()
 
 
+def test_long_texts_and_full_memory_of_pieces(monkeypatch):
+    from tokenizers import Tokenizer
+
+    path = tokenizer_file("byte_bpe_50k.json")
+    monkeypatch.setattr(token_files, "_LOADED", {})
+    for name, value in (("PART", 11), ("PIECES", 20), ("CHARACTERS", 60)):
+        monkeypatch.setattr(token_files, name, value)
+    model, ours = Tokenizer.from_file(path), token_files.encoder(path)
+    texts = [t or "" for t in made_texts()] + [" lead", "trail ", "x" * 50, " ".join(f"w{k}" for k in range(400))]
+    for _ in range(2):
+        for k in range(0, len(texts), 7):
+            assert [x.tolist() for x in ours(texts[k : k + 7])] == [model.encode(t, add_special_tokens=False).ids for t in texts[k : k + 7]]
+
+
 def test_tied_doc_ids_have_one_order(spark):
     docs = spark.createDataFrame([(1, f"text {k}") for k in range(50)] + [(1, "same"), (1, "same"), (0, "first")], "doc_id long, text string")
     path = tokenizer_file("byte_bpe_50k.json")
