@@ -14,7 +14,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lanewise.llm import textblocks
@@ -27,8 +27,16 @@ BATCH = 4
 ANSWERS = "bucket int, chunk long, answer binary"
 
 
-def chunked(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", most: int = 2_000_000) -> DataFrame:
-    """Chunks of about ``most`` bytes, written to the shared folder; a longer text is a chunk of its own. Null texts are empty."""
+def text_version(text: Column) -> Column:
+    """Tells texts under one doc_id apart."""
+    return F.xxhash64(text)
+
+
+def chunked(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", most: int = 2_000_000, versions: bool = False) -> DataFrame:
+    """Chunks of about ``most`` bytes, written to the shared folder; a longer text is a chunk of its own. Null texts are empty.
+
+    The doc_id is cast to long. ``versions``: one more column, each text's :func:`text_version`.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 24
@@ -37,11 +45,17 @@ def chunked(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", most: i
             for part in textblocks.slices(batch.column("body"), most):
                 data, offsets = textblocks.text_bytes(part)
                 ids = batch.column("doc_id").slice(at, len(part)).to_pylist()
-                yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([offsets[1:]], pa.list_(pa.int64())), pa.array([data.tobytes()], pa.binary())], ["chunk", "doc_ids", "ends", "body"])
+                columns = [pa.array([number], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([offsets[1:]], pa.list_(pa.int64())), pa.array([data.tobytes()], pa.binary())]
+                if versions:
+                    columns.append(pa.array([batch.column("version").slice(at, len(part)).to_pylist()], pa.list_(pa.int64())))
+                yield pa.RecordBatch.from_arrays(columns, names)
                 at += len(part)
                 number += 1
 
-    return stored(docs.select(F.col(doc_id).cast("long").alias("doc_id"), whole_text(text).alias("body")).mapInArrow(run, CHUNKS))
+    names = ["chunk", "doc_ids", "ends", "body", *(["versions"] if versions else [])]
+    version = [text_version(whole_text(text)).alias("version")] if versions else []
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), whole_text(text).alias("body"), *version)
+    return stored(rows.mapInArrow(run, CHUNKS + (", versions array<long>" if versions else "")))
 
 
 def rows_of(batch: pa.RecordBatch) -> Iterator[tuple[int, list[int | None], np.ndarray, np.ndarray]]:

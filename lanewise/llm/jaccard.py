@@ -24,15 +24,15 @@ from pyspark.sql import functions as F
 from lanewise.llm import chunks as ch
 from lanewise.llm import textblocks
 from lanewise.llm.components import joined
-from lanewise.llm.shared import stored, unused
+from lanewise.llm.shared import stored, unused, whole_text
 
 WORDS = 5
 #: Least similarity in hundredths.
 PERCENT = 75
 CHUNK_BYTES = 2_000_000
 BUCKET_BYTES = 12_000_000
-#: Members that one task compares at once; larger tiles are dealt over a grid of slices.
-SLICE = 1024
+#: Members that one task compares at once, and bytes of their signatures; larger tiles are dealt over a grid of slices.
+SLICE, SLICE_BYTES = 1024, 1_000_000
 _ROW_BITS = 16
 _LOW = np.uint64((1 << _ROW_BITS) - 1)
 
@@ -110,7 +110,8 @@ def _folded(signatures: list, size: int) -> np.ndarray:
     return rows.view(np.uint64)
 
 
-SETS = "row long, n long, d1 long, d2 long, hashes binary, prefix array<long>, signature binary"
+#: ``m``: how many of the n shingles occur in another text too; only these are in hashes and signature.
+SETS = "row long, n long, m long, d1 long, d2 long, hashes binary, prefix array<long>, signature binary"
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,18 +138,18 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 marks = textblocks.mixed_bits(own)
                 # A set with a shingle of its own equals no other.
                 digest = (np.array([marks.sum(), (marks * marks).sum()], np.uint64) if not alone else np.array([row, alone], np.uint64)).view(np.int64)
-                rows.append((row, n, int(digest[0]), int(digest[1]), ch.planes(own), prefix.astype(np.int64), signature(own, n), alone))
+                rows.append((row, n, len(own), int(digest[0]), int(digest[1]), ch.planes(own), prefix.astype(np.int64), signature(own, len(own))))
             if rows:
                 columns = list(zip(*rows, strict=True))
-                kinds = [pa.int64()] * 4 + [pa.binary(), pa.list_(pa.int64()), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=False)], ["row", "n", "d1", "d2", "hashes", "prefix", "signature"])
+                kinds = [pa.int64()] * 5 + [pa.binary(), pa.list_(pa.int64()), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["row", "n", "m", "d1", "d2", "hashes", "prefix", "signature"])
 
 
 def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for chunk, doc_ids, data, offsets in ch.rows_of(batch):
+        for k, (chunk, doc_ids, data, offsets) in enumerate(ch.rows_of(batch)):
             sizes = np.bincount((shingle_keys(data, offsets) & _LOW).astype(np.int64), minlength=len(doc_ids))
-            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([doc_ids], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int64()))], ["chunk", "doc_ids", "sizes"])
+            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([doc_ids], pa.list_(pa.int64())), batch.column("versions").slice(k, 1), pa.array([sizes], pa.list_(pa.int64()))], ["chunk", "doc_ids", "versions", "sizes"])
 
 
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,19 +157,19 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         yes = []
         for k in range(batch.num_rows):
-            n_a, n_b = (batch.column(c)[k].as_py() for c in ("n_a", "n_b"))
+            n_a, n_b, m_a, m_b = (batch.column(c)[k].as_py() for c in ("n_a", "n_b", "m_a", "m_b"))
             signs = [np.frombuffer(batch.column(c)[k].as_buffer(), np.uint8) for c in ("signature_a", "signature_b")]
             size = min(map(len, signs))
             shared = 0
-            if _may_link(n_a, n_b, int(np.bitwise_count(_folded(signs[:1], size) ^ _folded(signs[1:], size)).sum())):
+            if _may_link(n_a, n_b, m_a, m_b, int(np.bitwise_count(_folded(signs[:1], size) ^ _folded(signs[1:], size)).sum())):
                 shared = len(np.intersect1d(*(ch.from_planes(batch.column(c)[k].as_buffer()) for c in ("hashes_a", "hashes_b")), assume_unique=True))
             yes.append(100 * shared >= PERCENT * (n_a + n_b - shared))
         yield pa.RecordBatch.from_arrays([c.filter(pa.array(yes, pa.bool_())) for c in (batch.column("a"), batch.column("b"))], ["a", "b"])
 
 
-def _may_link(n_a, n_b, apart):
-    """Bits that differ are elements of one set only, so the overlap is at most (n_a + n_b - apart) / 2."""
-    most = np.minimum((n_a + n_b - apart) // 2, np.minimum(n_a, n_b))
+def _may_link(n_a, n_b, m_a, m_b, apart):
+    """Bits that differ are elements of one set only, so the overlap is at most (m_a + m_b - apart) / 2: shingles of one text alone are in none."""
+    most = np.minimum((m_a + m_b - apart) // 2, np.minimum(m_a, m_b))
     return 100 * most >= PERCENT * (n_a + n_b - most)
 
 
@@ -182,15 +183,15 @@ def _tile_pairs(nearest: bool):
         for batch in batches:
             lists, across = batch.column("members"), batch.column("across").to_pylist()
             edges = lists.offsets.to_numpy()
-            fields = {c: lists.values.field(c) for c in ("row", "n", "component", "major", "signature")}
-            row, n, component = (fields[c].to_numpy() for c in ("row", "n", "component"))
+            fields = {c: lists.values.field(c) for c in ("row", "n", "m", "component", "major", "signature")}
+            row, n, m, component = (fields[c].to_numpy() for c in ("row", "n", "m", "component"))
             major = fields["major"].to_numpy(zero_copy_only=False)
             bits, ends = textblocks.text_bytes(fields["signature"])
             found_a, found_b, found_bits = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for k, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
                 own = a + np.lexsort((row[a:b], n[a:b]))
-                signs = _folded([bits[ends[m] : ends[m + 1]] for m in own], int(np.diff(ends[a : b + 1]).min()))
-                sizes = n[own]
+                signs = _folded([bits[ends[j] : ends[j + 1]] for j in own], int(np.diff(ends[a : b + 1]).min()))
+                sizes, shared = n[own], m[own]
                 lasts = np.searchsorted(sizes, sizes * 100 // PERCENT, "right")
                 for i in range(len(own) - 1):
                     others = np.arange(i + 1, max(i + 1, lasts[i]))
@@ -199,7 +200,7 @@ def _tile_pairs(nearest: bool):
                         others = others[major[own[others]] != major[own[i]]]
                     if len(others):
                         apart = np.bitwise_count(signs[others] ^ signs[i]).sum(1).astype(np.int64)
-                        may = np.flatnonzero(_may_link(sizes[i], sizes[others], apart))
+                        may = np.flatnonzero(_may_link(sizes[i], sizes[others], shared[i], shared[others], apart))
                         if nearest and len(may):
                             may = may[[np.argmin(apart[may])]]
                         found_a.append(np.full(len(may), row[own[i]]))
@@ -214,7 +215,7 @@ def _tile_pairs(nearest: bool):
 def _exact(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) that link."""
     for side in "ab":
-        own = sets.select(F.col("row").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in ("n", "signature", "hashes")])
+        own = sets.select(F.col("row").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in ("n", "m", "signature", "hashes")])
         pairs = pairs.join(own, side)
     return stored(pairs.mapInArrow(_linked, "a long, b long"), batch_rows=500)
 
@@ -225,18 +226,20 @@ def _undecided(tiles: DataFrame, sets: DataFrame, found: DataFrame, nearest: boo
     A tile's largest component is dealt over slices, and its other members over slices of their own; parts of the tile pair
     a slice of the one with a slice of the other, or two slices of the others. No part has over two slices.
     """
-    placed = tiles.join(found.withColumnRenamed("node", "row"), "row")
-    counts = placed.groupBy("pivot", "component").agg(F.count(F.lit(1)).alias("own"))
+    # A member's share of a slice.
+    share = F.greatest(F.lit(1 / SLICE), F.octet_length("signature") / SLICE_BYTES)
+    placed = tiles.join(found.withColumnRenamed("node", "row"), "row").join(sets.select("row", share.alias("share")), "row")
+    counts = placed.groupBy("pivot", "component").agg(F.sum("share").alias("own"))
     shape = counts.groupBy("pivot").agg(F.max(F.struct("own", "component")).alias("top"), F.sum("own").alias("all"), F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
-    shape = shape.select("pivot", F.col("top.component").alias("largest"), F.ceil(F.col("top.own") / SLICE).cast("int").alias("s"), F.ceil((F.col("all") - F.col("top.own")) / SLICE).cast("int").alias("q"))
+    shape = shape.select("pivot", F.col("top.component").alias("largest"), F.ceil("top.own").cast("int").alias("s"), F.greatest(F.ceil(F.col("all") - F.col("top.own")), F.lit(1)).cast("int").alias("q"))
     dealt = placed.join(shape, "pivot").withColumn("major", F.col("component") == F.col("largest"))
     mine = F.pmod(F.xxhash64("row"), F.when(F.col("major"), F.col("s")).otherwise(F.col("q"))).cast("int")
     upto = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
     mixed = F.when(F.col("major"), F.transform(upto("q"), lambda q: F.struct(F.lit(True).alias("across"), F.col("mine").alias("i"), q.alias("j"))))
     mixed = mixed.otherwise(F.concat(F.transform(upto("s"), lambda s: F.struct(F.lit(True).alias("across"), s.alias("i"), F.col("mine").alias("j"))), F.transform(upto("q"), lambda q: F.struct(F.lit(False).alias("across"), F.least(q, F.col("mine")).alias("i"), F.greatest(q, F.col("mine")).alias("j")))))
     parts = dealt.withColumn("mine", mine).withColumn("part", F.explode(mixed)).select("pivot", "part.*", "row", "component", "major")
-    parts = parts.join(sets.select("row", "n", "signature"), "row")
-    groups = parts.groupBy("pivot", "across", "i", "j").agg(F.collect_list(F.struct("row", "n", "component", "major", "signature")).alias("members"))
+    parts = parts.join(sets.select("row", "n", "m", "signature"), "row")
+    groups = parts.groupBy("pivot", "across", "i", "j").agg(F.collect_list(F.struct("row", "n", "m", "component", "major", "signature")).alias("members"))
     pairs = groups.filter(F.size("members") > 1).select("members", "across").mapInArrow(_tile_pairs(nearest), "a long, b long, apart long")
     if nearest:
         pairs = pairs.groupBy("a").agg(F.min(F.struct("apart", "b")).alias("best")).select("a", "best.b")
@@ -245,33 +248,36 @@ def _undecided(tiles: DataFrame, sets: DataFrame, found: DataFrame, nearest: boo
     return stored(pairs, batch_rows=16)
 
 
-def jaccard_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """One row per row of ``docs``: ``doc_id, n_shingles, component_id``.
-
-    A text's set is that of its distinct shingles of ``WORDS`` words (A-Z lowered), of all its words if it has fewer. Two
-    texts link when ``100 * intersection >= PERCENT * union``; empty sets link with nothing. ``component_id`` is the least
-    doc_id reachable by links, itself included. Null texts are empty. Null doc_ids are rows of their own that are no
-    component's least id (a component of nulls only has null). Repeated rows link. Empty: no rows. Other columns are not read.
-    """
-    texts = ch.chunked(docs, text, doc_id, CHUNK_BYTES)
-    bits = ch.bucket_bits(ch.text_volume(texts), BUCKET_BYTES)
-    info = stored(texts.mapInArrow(_sizes, "chunk long, doc_ids array<long>, sizes array<long>"), batch_rows=ch.BATCH)
-    answers = ch.answered(ch.asked(texts, _ask(bits)), _repeated)
-    sets = stored(ch.with_answers(info, answers).mapInArrow(_sets, SETS), batch_rows=ch.BATCH)
-    members = sets.select("row", "n", "d1", "d2")
-    classes = members.groupBy("n", "d1", "d2").agg(F.min("row").alias("class"))
-    members = stored(members.join(classes, ["n", "d1", "d2"]).select("row", "class"))
-    sets = sets.join(members.filter("row = class").select("row"), "row", "left_semi")
-    sets = stored(sets.select("row", "n", "hashes", "prefix", "signature"))
-
-    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / PERCENT))).cast("int")
-    tokens = sets.select("row", band.alias("band"), F.explode("prefix").alias("token"))
-    banded = tokens.select("row", "token", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("tile"))
-    shared = banded.groupBy("token", "tile").agg(F.min("row").alias("pivot"), F.count(F.lit(1)).alias("size")).filter("size > 1")
-    tiles = stored(banded.join(shared, ["token", "tile"]).groupBy("row", "pivot").agg(F.count(F.lit(1)).alias("times")))
+class _Sets:
+    """What both the groups and the links are made from: texts, their classes of equal sets, one set of each class, and tiles."""
+
+    def __init__(self, docs: DataFrame, text: str, doc_id: str) -> None:
+        texts = ch.chunked(docs, text, doc_id, CHUNK_BYTES, versions=True)
+        bits = ch.bucket_bits(ch.text_volume(texts), BUCKET_BYTES)
+        info = stored(texts.mapInArrow(_sizes, "chunk long, doc_ids array<long>, versions array<long>, sizes array<long>"), batch_rows=ch.BATCH)
+        answers = ch.answered(ch.asked(texts, _ask(bits)), _repeated)
+        sets = stored(ch.with_answers(info, answers).mapInArrow(_sets, SETS), batch_rows=ch.BATCH)
+        members = sets.select("row", "n", "d1", "d2")
+        classes = members.groupBy("n", "d1", "d2").agg(F.min("row").alias("class"))
+        self.members = stored(members.join(classes, ["n", "d1", "d2"]).select("row", "class"))
+        sets = sets.join(self.members.filter("row = class").select("row"), "row", "left_semi")
+        self.sets = stored(sets.select("row", "n", "m", "hashes", "prefix", "signature"))
+        at = info.select("chunk", F.posexplode(F.arrays_zip("doc_ids", "versions", "sizes")).alias("at", "x"))
+        self.rows = at.select((F.shiftleft("chunk", _ROW_BITS) + F.col("at")).alias("row"), F.col("x.doc_ids").alias("doc_id"), F.col("x.versions").alias("version"), F.col("x.sizes").alias("n_shingles"))
+        band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / PERCENT))).cast("int")
+        tokens = self.sets.select("row", band.alias("band"), F.explode("prefix").alias("token"))
+        banded = tokens.select("row", "token", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("tile"))
+        shared = banded.groupBy("token", "tile").agg(F.min("row").alias("pivot"), F.count(F.lit(1)).alias("size")).filter("size > 1")
+        self.tiles = stored(banded.join(shared, ["token", "tile"]).groupBy("row", "pivot").agg(F.count(F.lit(1)).alias("times")))
+        self.alone = self.sets.select(F.col("row").alias("node"), F.col("row").alias("component"))
+
+
+def _grouped(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
+    """``row, doc_id, version, n_shingles, component`` of every row."""
+    own = _Sets(docs, text, doc_id)
+    sets, tiles = own.sets, own.tiles
     first = tiles.filter("row > pivot").groupBy("row").agg(F.max(F.struct("times", "pivot")).alias("top"))
-    found = sets.select(F.col("row").alias("node"), F.col("row").alias("component"))
-    found = joined(found, _exact(first.select(F.col("row").alias("a"), F.col("top.pivot").alias("b")), sets))
+    found = joined(own.alone, _exact(first.select(F.col("row").alias("a"), F.col("top.pivot").alias("b")), sets))
     nearest = True
     while True:
         pairs = _undecided(tiles.select("row", "pivot"), sets, found, nearest)
@@ -284,21 +290,49 @@ def jaccard_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
         # Rounds that find few links cost more than the last one, which looks at all that is left.
         nearest = links.count() * 4 >= pairs.count()
         found = joined(found, links)
+    grouped = own.members.join(found.withColumnRenamed("node", "class"), "class").select("row", "component")
+    return stored(own.rows.join(grouped, "row", "left").withColumn("component", F.coalesce("component", "row")))
+
 
-    rows = info.select("chunk", F.posexplode(F.arrays_zip("doc_ids", "sizes")).alias("at", "x")).select((F.shiftleft("chunk", _ROW_BITS) + F.col("at")).alias("row"), F.col("x.doc_ids").alias("doc_id"), F.col("x.sizes").alias("n_shingles"))
-    grouped = members.join(found.withColumnRenamed("node", "class"), "class").select("row", "component")
-    grouped = stored(rows.join(grouped, "row", "left").withColumn("component", F.coalesce("component", "row")))
+def jaccard_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """One row per row of ``docs``: ``doc_id, n_shingles, component_id``.
+
+    A text's set is that of its distinct shingles of ``WORDS`` words (A-Z lowered), of all its words if it has fewer. Two
+    texts link when ``100 * intersection >= PERCENT * union``; empty sets link with nothing. ``component_id`` is the least
+    doc_id reachable by links, itself included. Null texts are empty. Null doc_ids are rows of their own that are no
+    component's least id (a component of nulls only has null). Repeated rows link. Empty: no rows. Other columns are not read.
+    """
+    grouped = _grouped(docs, text, doc_id)
     least = grouped.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     return grouped.join(least, "component").select("doc_id", "n_shingles", "component_id")
 
 
+def jaccard_links(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """The join itself, all its links: ``class_a, class_b`` (a > b) for every two classes that link, and ``class, doc_id, n_shingles`` for every row.
+
+    A class is all rows of one non-empty set; its rows link with each other and with all rows of the classes it links with. Rows whose
+    class is null link with nothing. Nulls, repeated rows and empty tables as in :func:`jaccard_groups`. Links are as many as they are, so a
+    group of near copies of N different texts may have N * N / 2.
+    """
+    own = _Sets(docs, text, doc_id)
+    pairs = _undecided(own.tiles.select("row", "pivot"), own.sets, own.alone, nearest=False)
+    links = _exact(pairs, own.sets).select(F.greatest("a", "b").alias("class_a"), F.least("a", "b").alias("class_b"))
+    return links, own.rows.join(own.members, "row", "left").select("class", "doc_id", "n_shingles")
+
+
 def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` whose doc_id is their group's ``component_id``, with all their columns; nulls and ties as in :func:`jaccard_groups`.
+    """Of every group of :func:`jaccard_groups` the row with the least doc_id, with all its columns; a null doc_id after all others.
 
-    Rows that repeat a doc_id all stay or all go, except copies of one text, of which they are one group and all stay.
+    Rows are told apart by doc_id and text: of different texts of a group under the least doc_id one stays, and a text that shares its doc_id
+    with a dropped one is not dropped with it. Repeated rows, equal in doc_id and text, stay or go together.
     """
-    drop = jaccard_groups(docs, text, doc_id).filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(unused(docs, "gone"))).distinct()
-    return docs.join(drop, F.col(doc_id).eqNullSafe(F.col(drop.columns[0])), "left_anti")
+    grouped = _grouped(docs, text, doc_id)
+    order = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "version")
+    kept = grouped.groupBy("component").agg(F.min(order).alias("k")).select("k.doc_id", "k.version").distinct()
+    kept_id, kept_version, version = (unused(docs, c) for c in ("kept_id", "kept_version", "version"))
+    kept = kept.toDF(kept_id, kept_version)
+    same = F.col(doc_id).cast("long").eqNullSafe(F.col(kept_id)) & (F.col(version) == F.col(kept_version))
+    return docs.withColumn(version, ch.text_version(whole_text(text))).join(kept, same, "left_semi").drop(version)
 
 
 SQL = r"""

@@ -86,6 +86,7 @@ def test_jaccard_groups(nasty, rows_of, none):
     assert kept.columns == nasty.columns
     want = [d for d, _, c in brute_groups(rows_of) if d == c]
     assert sorted([r["doc_id"] for r in kept.collect()], key=lambda d: (d is None, d or 0)) == want
+    assert jaccard.one_of_each(none).count() == 0
 
 
 def test_jaccard_chains_of_links_and_sliced_tiles(spark, monkeypatch):
@@ -107,6 +108,32 @@ def test_jaccard_chains_of_links_and_sliced_tiles(spark, monkeypatch):
     assert bag(jaccard.jaccard_groups(docs), "doc_id", "n_shingles", "component_id") == brute_groups(rows)
 
 
+def test_links_between_classes_are_all_links(nasty, rows_of, none):
+    links, rows = jaccard.jaccard_links(nasty)
+    classes = defaultdict(list)
+    for r in rows.collect():
+        classes[r["class"]].append(r["doc_id"])
+    sets = [shingles(t) for _, t in rows_of]
+    got = Counter()
+    for r in links.collect():
+        assert r["class_a"] > r["class_b"]
+        got.update(frozenset((x, y)) for x in classes[r["class_a"]] for y in classes[r["class_b"]])
+    for c, own in classes.items():
+        if c is not None:
+            got.update(frozenset((own[i], own[j])) for i in range(len(own)) for j in range(i))
+    want = Counter(frozenset((rows_of[a][0], rows_of[b][0])) for a in range(len(sets)) for b in range(a) if sets[a] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]))
+    assert got == want and len(rows.columns) == 3
+    links, rows = jaccard.jaccard_links(none)
+    assert links.count() == 0 and rows.count() == 0
+
+
+def test_one_of_each_tells_texts_under_one_id_apart(spark):
+    a, b, c = ("alpha beta gamma delta epsilon zeta", "one two three four five six", "eins zwei drei vier")
+    rows = [(3, b), (5, a), (5, b), (7, c), (7, c), (None, c), (None, "only here")]
+    docs = spark.createDataFrame([(*r, 1, "v") for r in rows], "doc_id long, text string, kept_id int, version string").repartition(3)
+    assert bag(jaccard.one_of_each(docs), "doc_id", "text", "version") == sorted([(3, b, "v"), (5, a, "v"), (7, c, "v"), (7, c, "v"), (None, "only here", "v")], key=key)
+
+
 def test_signatures_bound_overlap_from_above():
     rng = np.random.default_rng(1)
     for n, m, common in ((50, 60, 30), (400, 300, 290), (1000, 40, 40)):
