@@ -24,13 +24,15 @@ from pyspark.sql import functions as F
 from lanewise.llm import chunks as ch
 from lanewise.llm import textblocks
 from lanewise.llm.components import joined
-from lanewise.llm.shared import stored, unused, whole_text
+from lanewise.llm.shared import BATCH_BYTES, settings, stored, unused, whole_text
 
 WORDS = 5
 #: Least similarity in hundredths.
 PERCENT = 75
-CHUNK_BYTES = 2_000_000
-BUCKET_BYTES = 12_000_000
+CHUNK_BYTES = 1_000_000
+BUCKET_BYTES = 8_000_000
+#: Of rows with texts, sets or signatures, so many bytes go to a worker at once.
+_BATCHES = {BATCH_BYTES: "4m"}
 #: Members that one task compares at once, and bytes of their signatures; larger tiles are dealt over a grid of slices.
 SLICE, SLICE_BYTES = 1024, 1_000_000
 _ROW_BITS = 16
@@ -274,7 +276,11 @@ class _Sets:
 
 def _grouped(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
     """``row, doc_id, version, n_shingles, component`` of every row."""
-    own = _Sets(docs, text, doc_id)
+    with settings(docs.sparkSession, _BATCHES):
+        return _with_components(_Sets(docs, text, doc_id))
+
+
+def _with_components(own: _Sets) -> DataFrame:
     sets, tiles = own.sets, own.tiles
     first = tiles.filter("row > pivot").groupBy("row").agg(F.max(F.struct("times", "pivot")).alias("top"))
     found = joined(own.alone, _exact(first.select(F.col("row").alias("a"), F.col("top.pivot").alias("b")), sets))
@@ -314,9 +320,11 @@ def jaccard_links(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -
     class is null link with nothing. Nulls, repeated rows and empty tables as in :func:`jaccard_groups`. Links are as many as they are, so a
     group of near copies of N different texts may have N * N / 2.
     """
-    own = _Sets(docs, text, doc_id)
-    pairs = _undecided(own.tiles.select("row", "pivot"), own.sets, own.alone, nearest=False)
-    links = _exact(pairs, own.sets).select(F.greatest("a", "b").alias("class_a"), F.least("a", "b").alias("class_b"))
+    with settings(docs.sparkSession, _BATCHES):
+        own = _Sets(docs, text, doc_id)
+        pairs = _undecided(own.tiles.select("row", "pivot"), own.sets, own.alone, nearest=False)
+        links = _exact(pairs, own.sets)
+    links = links.select(F.greatest("a", "b").alias("class_a"), F.least("a", "b").alias("class_b"))
     return links, own.rows.join(own.members, "row", "left").select("class", "doc_id", "n_shingles")
 
 

@@ -34,6 +34,8 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Bytes of rows that go to a Python worker at once; each executor core holds a few times as many outside the heap.
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 @contextlib.contextmanager
