@@ -5,8 +5,7 @@
 2. Equal sets become one class. Of each class, the prefix that any partner must share a shingle with, in order from rare to common,
    puts it into tiles: one for each prefix shingle and size band, as partners are in the same band or the next. Tiles with the
    same least member, their pivot, are one tile.
-3. Every set is held against the pivot of most of its tiles first, then, as long as a quarter of these pairs link, against its
-   nearest other by signature. Only pairs of a tile whose components still differ are looked at then: bit counts of two signatures bound
+3. Every set is held against the pivot of most of its tiles first, then against its nearest other by signature. Only pairs of a tile whose components still differ are looked at then: bit counts of two signatures bound
    the overlap from above, and what the bound leaves is intersected exactly.
 
 Links inside one component need not be found, so a tile of near copies costs its size, not its square.
@@ -284,18 +283,11 @@ def _with_components(own: _Sets) -> DataFrame:
     sets, tiles = own.sets, own.tiles
     first = tiles.filter("row > pivot").groupBy("row").agg(F.max(F.struct("times", "pivot")).alias("top"))
     found = joined(own.alone, _exact(first.select(F.col("row").alias("a"), F.col("top.pivot").alias("b")), sets))
-    nearest = True
-    while True:
+    for nearest in (True, False):
         pairs = _undecided(tiles.select("row", "pivot"), sets, found, nearest)
         if pairs.isEmpty():
             break
-        links = _exact(pairs, sets)
-        if not nearest:
-            found = joined(found, links)
-            break
-        # Rounds that find few links cost more than the last one, which looks at all that is left.
-        nearest = links.count() * 4 >= pairs.count()
-        found = joined(found, links)
+        found = joined(found, _exact(pairs, sets))
     grouped = own.members.join(found.withColumnRenamed("node", "class"), "class").select("row", "component")
     return stored(own.rows.join(grouped, "row", "left").withColumn("component", F.coalesce("component", "row")))
 
