@@ -8,6 +8,8 @@ however often it occurs there, so a hot key cannot overload a bucket.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import math
 from collections.abc import Callable, Iterator
 
@@ -27,6 +29,17 @@ BATCH = 4
 ANSWERS = "bucket int, chunk long, answer binary"
 
 
+@contextlib.contextmanager
+def released() -> Iterator[None]:
+    """Give what was freed inside back to the machine at the end: workers live on after a task, and the allocator keeps freed arrays."""
+    try:
+        yield
+    finally:
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(AttributeError, OSError):  # not every C library has it
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 def text_version(text: Column) -> Column:
     """Tells texts under one doc_id apart."""
     return F.xxhash64(text)
@@ -79,8 +92,8 @@ def asked(chunks: DataFrame, ask: Callable[[int, list, np.ndarray, np.ndarray],
     """``ask(chunk, doc_ids, data, offsets)`` gives ``(bucket, message)`` pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in rows_of(batch):
+        with released():
+            for row in (r for batch in batches for r in rows_of(batch)):
                 found = list(ask(*row))
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in found], pa.int32()), pa.array([row[0]] * len(found), pa.int64()), pa.array([m for _, m in found], pa.binary())], ["bucket", "chunk", "message"])
@@ -100,8 +113,9 @@ def answered(messages: DataFrame, answer: Callable[[list[bytes]], list[bytes]])
     """All messages of a bucket meet in one call of ``answer``, which gives one answer for each."""
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by("chunk").combine_chunks()
-        found = answer([m.as_buffer() for m in table.column("message")])
+        with released():
+            table = table.sort_by("chunk").combine_chunks()
+            found = answer([m.as_buffer() for m in table.column("message")])
         return pa.table([table.column("bucket"), table.column("chunk"), pa.array(found, pa.binary())], names=["bucket", "chunk", "answer"])
 
     return messages.groupBy("bucket").applyInArrow(run, ANSWERS)
