@@ -16,19 +16,19 @@ from pyspark.sql import types as T
 
 from lanewise.functions import columns as C
 from lanewise.functions import domain
-from lanewise.functions.signatures import signed
-from lanewise.operators import derive, filters, intervals, joins, paging, projections, quality, windows
+from lanewise.functions.signatures import pads, signature
+from lanewise.operators import chains, containment, derive, filters, intervals, joins, names, paging, projections, quality, windows
 from lanewise.operators.filters import Principal, ShipmentCriteria
 from lanewise.operators.ordering import union_all
 from lanewise.plans import jobs, matviews, reports, snapshots
 from lanewise.plans.refresh import Freight, populate_snapshots, refresh_periods, refresh_views, view_table
 from lanewise.sources import generator, tables
 from lanewise.sources.bindings import Bindings
-from lanewise.sources.checkpoints import run_folder
+from lanewise.sources.checkpoints import materialized, run_folder
 from lanewise.sources.periods import PeriodTable
 from lanewise.sources.snapshot_store import SnapshotStore
 from lanewise.sources.versions import replaced
-from lanewise.streaming import ingest, monitors
+from lanewise.streaming import ingest, keyed_ingest, monitors
 
 AS_OF = "1998-06-01 00:00:00"  # both late and timely open shipments
 AS_OF_LAST = "2001-08-01 00:00:00"  # end of the order history
@@ -96,6 +96,14 @@ def a3_append_ignoring_conflicts(b):
     return tables.new_rows(stored, _resent(b), ["id"], ["shipment_id"])
 
 
+@query
+def a3_append_under_all_keys(b):
+    """Bookings of which each shares its number with one and its bill of lading with another: who comes first is stored."""
+    rows = b.shipments.select("id", F.floor(F.col("id") / 3).alias("number"), F.floor((F.col("id") + 1) / 3).alias("bill"), F.when(F.pmod("id", F.lit(5)) > 0, F.col("carrier_id")).alias("carrier_id"), F.to_date("departure_date").alias("day"))
+    stored = rows.filter(F.pmod("id", F.lit(7)) == 0)
+    return tables.new_rows_under(stored, rows.filter(F.pmod("id", F.lit(7)) != 0), [["number"], ["bill"], ["carrier_id", "day"]], ["day", "id"]).select("id")
+
+
 @query
 def a4_get_or_create_ports(b):
     wanted = b.ports.select(F.concat(F.substring("un_locode", 1, 4), F.pmod("id", F.lit(3)).cast("string")).alias("un_locode"), "port_name", F.col("id").alias("rank"))
@@ -372,6 +380,25 @@ def c19_lookups(b):
     return union_all([df.select(F.lit(test).alias("test"), F.col("id").cast("string").alias("id")) for test, df in found.items()])
 
 
+@query
+def c19_similar_names(b):
+    """The three companies whose names are most like those of every hundredth, misspelt and with its tax id."""
+    wanted = b.companies.filter("id % 100 = 0").select("id", F.concat(F.regexp_replace("legal_name", "Customer", "Custmer"), F.lit(" & "), F.col("tax_id")).alias("text"))
+    index = names.gram_index(b.companies.withColumn("name", F.concat_ws(" ", "legal_name", "tax_id")), "id", "name")
+    return names.search(index, wanted, "id", "text", names.ALIKE, 3).select("query", "key", "similarity")
+
+
+@query
+def c19_nested_containment(b):
+    """Shipments whose nested record has a booked lane from port 3, a frozen item and a dangerous one, in any order."""
+    item = F.struct(F.col("cargo_type").alias("type"), F.struct(F.col("is_hazmat").alias("hazmat"), F.col("package_count").alias("packages")).alias("handling"))
+    items = b.cargo.groupBy(F.col("shipment_id").alias("id")).agg(F.collect_list(item).alias("items"))
+    record = F.to_json(F.struct(F.struct(F.struct(F.col("origin_port_id").alias("from"), F.col("destination_port_id").alias("to")).alias("ports"), F.col("status")).alias("lane"), "items"))
+    kept = b.shipments.join(items, "id").select("id", record.alias("record"))
+    wanted = {"lane": {"ports": {"from": 3.0}}, "items": [{"handling": {"hazmat": True}}, {"type": "REEFER"}]}
+    return containment.containing(kept, "record", wanted).select("id")
+
+
 @query
 def c19_json_and_codes(b):
     wanted = filters.json_contains(b.shipments, "custom_attributes", idempotency_key="key-0000000040")
@@ -533,7 +560,9 @@ def _messages(b: Bindings) -> DataFrame:
     """A signed carrier message per event; some are forged, cut short, sent twice or name no shipment."""
     e = F.col("id")
     owner = b.shipments.select(F.col("id").alias("shipment_id"), "tracking_number", "carrier_id")
-    secrets = b.carriers.select(F.col("id").alias("carrier_id"), "carrier_code", F.get_json_object("service_metadata", "$.webhook_secret").alias("secret"))
+    secret = F.get_json_object("service_metadata", "$.webhook_secret")
+    true_pads, wrong_pads = (F.struct(*[p.alias(n) for p, n in zip(pads(key), ("inner", "outer"), strict=True)]) for key in (secret, F.lit("wrong")))
+    secrets = b.carriers.select(F.col("id").alias("carrier_id"), "carrier_code", true_pads.alias("pads"), wrong_pads.alias("wrong_pads"))
     sent = b.tracking_events.join(owner, "shipment_id").join(secrets, "carrier_id")
     reference = F.when(F.pmod(e, F.lit(11)) == 0, F.concat(F.lit("LOST-"), e.cast("string"))).otherwise(F.col("tracking_number"))
     body = F.to_json(
@@ -547,9 +576,9 @@ def _messages(b: Bindings) -> DataFrame:
     )
     raw = F.encode(body, "UTF-8")
     forged = F.pmod(e, F.lit(17)) == 0
-    key = F.when(forged, F.lit("wrong")).otherwise(F.col("secret"))
+    used = F.when(forged, F.col("wrong_pads")).otherwise(F.col("pads"))
     code = F.when(F.pmod(e, F.lit(19)) == 0, F.lit("NOBODY")).otherwise(F.col("carrier_code"))
-    return sent.select(code.alias("carrier_code"), raw.alias("raw_body"), signed(raw, key).alias("signature"), F.col("event_time").alias("received_at"))
+    return sent.select(code.alias("carrier_code"), raw.alias("raw_body"), signature(raw, used["inner"], used["outer"]).alias("signature"), F.col("event_time").alias("received_at"))
 
 
 @query
@@ -932,6 +961,19 @@ def k1_ingested_events(b):
     return jobs.message_events(matched, now).select("shipment_id", "event_type", "event_time", "recorded_at", "description", "source_system")
 
 
+@query
+def k1_keyed_events(b):
+    """The ingest on keyed state over a stream of the same messages: its event log, but for the time of recording."""
+    spark = b.shipments.sparkSession
+    folder = run_folder(spark)
+    sent = _messages(b)
+    sent.write.parquet(f"{folder}/sent")
+    handled = materialized(jobs.processed_webhooks(b.tracking_events))
+    handler = keyed_ingest.KeyedIngest(f"{folder}/out", lambda: (handled, b.carriers, b.shipments))
+    handler.start(spark.readStream.schema(sent.schema).parquet(f"{folder}/sent"), f"{folder}/checkpoint", once=True).awaitTermination()
+    return handler.log(spark).select("shipment_id", "event_type", "event_time", "description", "source_system")
+
+
 @query
 def k1_two_batches(b):
     """The stateful ingest over two consecutive batches: its event log."""
@@ -953,6 +995,13 @@ def k3_merged_cascades(b):
     return monitor.totals(spark)
 
 
+@query
+def j8_correction_chains(b):
+    """Chains of up to seven corrections: the event each begins with, how far it is, and whether it is the last."""
+    corrected = b.tracking_events.select("id", F.when(F.pmod("id", F.lit(8)) > 0, F.col("id") - F.when(F.pmod("id", F.lit(24)) == 5, 2).otherwise(1)).alias("supersedes_id"))
+    return chains.correction_chains(corrected)
+
+
 @query
 def k2_exception_windows_by_port(b):
     return monitors.exception_windows(b.tracking_events, "port_id", "1 day")

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lanewise.sources.checkpoints import materialized
 from lanewise.sources.schemas import DEFAULT_ORDER, TABLES
 
 
@@ -37,6 +40,34 @@ def new_rows(existing: DataFrame, rows: DataFrame, key: list[str], order: list[s
     return first_per_key(rows, key, order).join(existing.select(*key), key, "left_anti")
 
 
+def new_rows_under(existing: DataFrame, rows: DataFrame, keys: list[list[str]], order: list[str]) -> DataFrame:
+    """Rows that an append in ``order`` under several unique keys stores, where a row that clashes under any key is left out.
+
+    A row is stored if no stored row and no row before it that is stored has its values of any key. A row left out for one key
+    frees its values of the others. A key with a null clashes with nothing. Rows equal in ``order`` are stored in order of their hash.
+
+    Each round stores the rows that come first under all their keys and leaves out those that clash with them; rounds
+    are half as many as the longest chain of rows each of which decides the next.
+    """
+    known = [F.lit(True) if not k else reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in k]) for k in keys]
+    open_ = rows
+    for key in keys:
+        open_ = open_.join(existing.select(*key).dropna().distinct(), key, "left_anti").select(*rows.columns)
+    place = F.struct(*order, F.xxhash64(*rows.columns).alias("_hash"), F.monotonically_increasing_id().alias("_row"))
+    open_, stored = materialized(open_.withColumn("_place", place)), None
+    while not open_.isEmpty():
+        first = open_
+        for n, key in enumerate(keys):
+            least = open_.filter(known[n]).groupBy(*key).agg(F.min("_place").alias(f"_least{n}"))
+            first = first.join(least, key, "left").filter(F.col(f"_least{n}").isNull() | (F.col(f"_least{n}") == F.col("_place"))).select(*open_.columns)
+        first = materialized(first)
+        rest = open_.join(first.select("_place"), "_place", "left_anti").select(*open_.columns)
+        for key in keys:
+            rest = rest.join(first.select(*key).dropna().distinct(), key, "left_anti").select(*open_.columns)
+        stored, open_ = first if stored is None else stored.unionByName(first), materialized(rest)
+    return rows.limit(0) if stored is None else stored.select(*rows.columns)
+
+
 def append_ignoring_conflicts(path: str, existing: DataFrame, rows: DataFrame, key: list[str], order: list[str]) -> None:
     """Append rows that do not clash on ``key`` with stored rows or with each other."""
     new_rows(existing, rows, key, order).write.mode("append").parquet(path)

@@ -7,11 +7,12 @@ next batch's timers. Ids whose event was recorded are known for ever unless ``fo
 expired or had no working carrier may come again.
 
 Sinks are a directory per batch, written with overwrite, and all rows of a batch carry its one processing time, so a replayed
-batch writes the same rows. The state store must be RocksDB (see :func:`with_state_store`).
+batch writes the same rows; batches that say nothing write nothing.
 """
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -33,10 +34,16 @@ _STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvid
 _COLUMNS = [c.split()[0] for c in _MESSAGE.split(", ")]
 
 
-def with_state_store(spark: SparkSession) -> SparkSession:
-    """The session with the state store that keyed state needs."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", _STORE)
-    return spark
+@contextlib.contextmanager
+def state_store(spark: SparkSession) -> Iterator[None]:
+    """Streams that start inside keep their state in RocksDB, which keyed state needs."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, _STORE)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 class Retries(StatefulProcessor):
@@ -152,9 +159,11 @@ class KeyedIngest:
         df.write.mode("overwrite").parquet(f"{self.root}/{sink}/batch={batch}")
 
     def __call__(self, said: DataFrame, batch: int) -> None:
-        others, carriers, shipments = self.tables()
         said = said.persist()
         try:
+            if said.isEmpty():  # batches run for timers too, mostly none is due
+                return
+            others, carriers, shipments = self.tables()
             now = F.timestamp_micros("decided_us")
             read = said.filter("status = 'try'").withColumns({"event_timestamp": F.timestamp_micros("event_us"), "received_at": F.timestamp_micros("received_us"), "payload": F.from_json("payload", "map<string,string>")})
             names = ["webhook_id", "carrier_code", "event_type", "shipment_reference", "event_timestamp", "payload", "received_at", "retries", "decided_us"]
@@ -164,15 +173,19 @@ class KeyedIngest:
             self._write(matched.filter("status NOT IN ('matched', 'retry')").select(*repeated.columns).unionByName(repeated), "closed", batch)
             refused = said.filter("webhook_id IS NULL").select("carrier_code", "raw_body", "signature", F.timestamp_micros("received_us").alias("received_at"), F.col("status").alias("reason"))
             self._write(refused, "quarantine", batch)
-            self._write(matched.filter("status <> 'retry'").select("webhook_id", F.col("status").alias("outcome")), "acks", batch)
+            ended = matched.filter("status <> 'retry'").select("webhook_id", F.col("status").alias("outcome"))
+            if not ended.isEmpty():
+                self._write(ended, "acks", batch)
             matched.unpersist()
         finally:
             said.unpersist()
 
     def start(self, messages: DataFrame, checkpoint: str, **trigger) -> StreamingQuery:
-        """Run over a stream of raw messages. A new checkpoint needs an empty root, as in :func:`lanewise.streaming.ingest.start`."""
-        spark = with_state_store(messages.sparkSession)
+        """Run over a stream of raw messages, every second unless told otherwise. A new checkpoint needs an empty root, as in
+        :func:`lanewise.streaming.ingest.start`. Timers always ask for another batch, so ``availableNow`` does not end; ``once=True`` does."""
+        spark = messages.sparkSession
         if not exists(spark, f"{checkpoint.rstrip('/')}/metadata") and exists(spark, f"{self.root}/events"):
             raise ValueError(f"{self.root} holds the batches of another checkpoint; start with that one or with an empty root")
         writer = self.keyed(messages).writeStream.outputMode("append").foreachBatch(self).option("checkpointLocation", checkpoint)
-        return writer.trigger(**(trigger or {"availableNow": True})).start()
+        with state_store(spark):
+            return writer.trigger(**(trigger or {"processingTime": "1 second"})).start()

@@ -176,6 +176,24 @@ sql(
     UNION ALL SELECT un_locode, arg_min(port_name, id), min(id), true FROM wanted WHERE un_locode NOT IN (SELECT un_locode FROM ports) GROUP BY un_locode""",
     "wanted AS (SELECT substr(un_locode, 1, 4) || (id % 3) AS un_locode, port_name, id FROM ports)",
 )
+sql(
+    "c19_nested_containment",
+    """SELECT s.id FROM shipments s WHERE origin_port_id = 3 AND EXISTS (SELECT 1 FROM cargo c WHERE c.shipment_id = s.id AND is_hazmat)
+    AND EXISTS (SELECT 1 FROM cargo c WHERE c.shipment_id = s.id AND cargo_type = 'REEFER')""",
+)
+sql(
+    "c19_similar_names",
+    """SELECT query, key, similarity FROM (
+      SELECT q.id AS query, n.id AS key, len(list_intersect(q.g, n.g)) / (len(q.g) + len(n.g) - len(list_intersect(q.g, n.g))) AS similarity
+      FROM grams q JOIN grams n ON q.asked AND NOT n.asked)
+    WHERE similarity >= 0.3 QUALIFY row_number() OVER (PARTITION BY query ORDER BY similarity DESC, key) <= 3""",
+    """texts AS (
+      SELECT id, true AS asked, replace(legal_name, 'Customer', 'Custmer') || ' & ' || tax_id AS text FROM companies WHERE id % 100 = 0
+      UNION ALL SELECT id, false, legal_name || ' ' || tax_id FROM companies),
+    words AS (SELECT id, asked, '  ' || unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) || ' ' AS w FROM texts),
+    cut AS (SELECT id, asked, w, unnest(range(1, length(w) - 1)) AS i FROM words),
+    grams AS (SELECT id, asked, list(DISTINCT substr(w, i, 3)) AS g FROM cut GROUP BY id, asked)""",
+)
 sql("a5_delete_tagged", "SELECT id, status, tracking_number FROM shipments WHERE tags <> 'seed'")
 
 SEA = "['CNSHA', 'USLAX', 'SGSIN', 'DEHAM', 'NLRTM', 'AEJEA', 'GBFXT', 'KRPUS']"
@@ -805,6 +823,17 @@ sql(
 )
 sql("j8_current_events", "SELECT id, event_type FROM tracking_events WHERE id NOT IN (SELECT supersedes_id FROM tracking_events WHERE supersedes_id IS NOT NULL)")
 
+sql(
+    "j8_correction_chains",
+    """SELECT e.id, fact_id, depth, NOT EXISTS (SELECT 1 FROM links c WHERE c.up = e.id) AS is_latest,
+    EXISTS (SELECT 1 FROM walked f JOIN links c ON c.up = f.id WHERE f.fact_id = e.fact_id GROUP BY f.id HAVING count(*) > 1) AS is_forked, false AS in_cycle FROM walked e""",
+    """named AS (SELECT id, CASE WHEN id % 8 > 0 THEN id - CASE WHEN id % 24 = 5 THEN 2 ELSE 1 END END AS up FROM tracking_events),
+    links AS (SELECT l.id, l.up FROM named l JOIN tracking_events t ON t.id = l.up),
+    walked AS (
+      SELECT id, id AS fact_id, 0::BIGINT AS depth FROM tracking_events WHERE id NOT IN (SELECT id FROM links)
+      UNION ALL SELECT l.id, w.fact_id, w.depth + 1 FROM walked w JOIN links l ON l.up = w.id)""",
+)
+
 # streaming operators in batch form, and pages
 
 sql(
@@ -829,6 +858,7 @@ for _name in ("k1_ingested_events", "k1_two_batches"):
       FROM tracking_events e JOIN shipments s ON s.id = e.shipment_id JOIN carriers c ON c.id = s.carrier_id
       WHERE c.is_active AND e.id % 19 <> 0 AND e.id % 17 <> 0 AND e.id % 13 <> 0))""",
     )
+sql("k1_keyed_events", "SELECT * EXCLUDE (recorded_at) FROM (" + _SQL["k1_ingested_events"].removeprefix(BASE).split("))", 1)[1] + ")", _SQL["k1_ingested_events"].removeprefix(BASE).removeprefix(", ").rsplit("))", 1)[0] + "))")
 sql("k3_merged_cascades", "SELECT * EXCLUDE (tracking_number) FROM (" + CASCADE.replace(f" AND te1.event_time >= {AS_OF_EVENTS} - INTERVAL 30 DAY", "") + ")")
 sql(
     "k4_late_events",
@@ -842,5 +872,5 @@ sql(
     ORDER BY departure_date DESC NULLS FIRST, id LIMIT 200""",
 )
 for _name, _body in list(_SQL.items()):
-    if "walk AS (" in _body:
+    if "walk AS (" in _body or "walked AS (" in _body:
         _SQL[_name] = _body.replace("WITH ports", "WITH RECURSIVE ports", 1)
