@@ -8,6 +8,8 @@ names, are removed: a read may go on for ``keep - 1`` refreshes.
 
 from __future__ import annotations
 
+from datetime import date, timedelta
+
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,14 +42,24 @@ class PeriodTable:
         return {r["period"]: r["write"] for r in rows if r["period"]}, rows[0]["ddl"]
 
     def read(self, since: str | None = None, until: str | None = None) -> DataFrame:
-        """All periods, or those that begin from ``since`` to ``until`` (days, both included); others are not even listed."""
+        """All rows, or those with dates from ``since`` to ``until`` (days, both included); periods without such days are not even listed."""
         number = self.current()
         if number is None:
             raise FileNotFoundError(f"nothing published under {self.path}")
         periods, ddl = self._listed(number)
-        chosen = {p: n for p, n in periods.items() if (since is None or p >= since) and (until is None or p <= until)}
+        first = None if since is None else self._first_day(since)
+        chosen = {p: n for p, n in periods.items() if (first is None or p >= first) and (until is None or p <= until)}
         paths = [f"{self._folder('w', n)}/period={p}" for p, n in sorted(chosen.items())]
-        return self.spark.read.schema(ddl).parquet(*paths) if paths else self.spark.createDataFrame([], ddl)
+        rows = self.spark.read.schema(ddl).parquet(*paths) if paths else self.spark.createDataFrame([], ddl)
+        day = F.to_date(self.column)
+        for bound, inside in ((since, day >= F.to_date(F.lit(since))), (until, day <= F.to_date(F.lit(until)))):
+            rows = rows if bound is None else rows.filter(inside)
+        return rows
+
+    def _first_day(self, day: str) -> str:
+        """The first day of the period that holds the day."""
+        given = date.fromisoformat(day)
+        return str(given.replace(day=1) if self.unit == "month" else given - timedelta(days=given.weekday()))
 
     def publish(self, df: DataFrame, touched: list[str] | None = None, keep: int = 2) -> dict:
         """Publish ``df`` in place of everything, or of the ``touched`` periods (their first days) only.
@@ -57,7 +69,9 @@ class PeriodTable:
         number, last = max([0, *self._numbers("w"), *self._numbers("m")]) + 1, self.current()
         folder, seen = self._folder("w", number), Observation()
         rows = df.withColumn("period", self.period_of(F.col(self.column)))
-        rows.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("errorifexists").partitionBy("period").parquet(folder)
+        # Each task then holds few periods, so a period has few files; large periods are split by key.
+        dealt = rows.repartitionByRange("period", *self.key).observe(seen, F.count(F.lit(1)).alias("rows"))
+        dealt.write.mode("errorifexists").partitionBy("period").parquet(folder)
         written = [n.removeprefix("period=") for n in subfolders(self.spark, folder)] if exists(self.spark, folder) else []
         if touched is not None and not set(written) <= set(touched):
             raise ValueError(f"rows outside the touched periods: {sorted(set(written) - set(touched))}")

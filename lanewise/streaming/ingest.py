@@ -74,12 +74,12 @@ class Ingest:
     """The stateful half: matches a micro-batch together with the messages still waiting.
 
     The ids it has handled are kept in a sink of their own, one narrow column by day of arrival, so that a batch need
-    not parse the event log. A batch reads the days of the last ``retention_days`` before its earliest message: a carrier
-    that repeats a message later than that is recorded again, under the same event id. Only sinks of earlier batches are read,
-    which is what makes a replay safe.
+    not parse the event log. All of them are read, or, with ``retention_days``, those of the days since so many before the batch's
+    earliest message: a carrier that repeats a message later than that is recorded again, under the same event id. Only sinks of earlier
+    batches are read, which is what makes a replay safe.
     """
 
-    def __init__(self, root: str, tables: Callable[[], tuple[DataFrame, DataFrame, DataFrame]], now: Callable[[], Column] = F.current_timestamp, retention_days: int = 30):
+    def __init__(self, root: str, tables: Callable[[], tuple[DataFrame, DataFrame, DataFrame]], now: Callable[[], Column] = F.current_timestamp, retention_days: int | None = None):
         """``tables`` gives (webhook ids handled by others, carriers, shipments) as of the batch; ``now`` is its clock, read once a batch."""
         self.root, self.tables, self.now, self.retention_days = root.rstrip("/"), tables, now, retention_days
 
@@ -105,7 +105,7 @@ class Ingest:
         first = arrived.agg(F.min(F.unix_date(F.to_date("received_at")))).first()[0]
         if first is None:
             return others.select("webhook_id")
-        days = [d for d in subfolders(spark, folder) if int(d.removeprefix("day=")) >= first - self.retention_days]
+        days = [d for d in subfolders(spark, folder) if self.retention_days is None or int(d.removeprefix("day=")) >= first - self.retention_days]
         if not days:
             return others.select("webhook_id")
         own = spark.read.option("basePath", folder).schema("webhook_id string, day int, batch long").parquet(*[f"{folder}/{d}" for d in days])

@@ -284,3 +284,13 @@ def test_generated_data_is_repeatable_and_valid(spark):
     for name, df in (("shipments", made), ("cargo", cargo), ("tracking_events", events)):
         assert quality.row_violations(df, name).count() == 0
     assert generator.ports(spark).count() == 10 and generator.companies(spark).count() == 8 and generator.carriers(spark).count() == 5
+
+
+def test_periods_read_by_days(spark, tmp_path):
+    rows = spark.createDataFrame([(k, f"1996-0{1 + k // 28}-{1 + k % 28:02d}") for k in range(80)], "id int, day string").select("id", F.to_date("day").alias("day"))
+    for unit in ("month", "week"):
+        kept = PeriodTable(spark, str(tmp_path / unit), ["id"], "day", unit)
+        assert kept.publish(rows)["rows"] == 80
+        for since, until in (("1996-01-15", None), ("1996-01-20", "1996-02-03"), (None, "1996-01-31"), ("1996-02-29", "1996-03-01")):
+            want = {r["id"] for r in rows.collect() if (since is None or str(r["day"]) >= since) and (until is None or str(r["day"]) <= until)}
+            assert {r["id"] for r in kept.read(since, until).collect()} == want
