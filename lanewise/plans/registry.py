@@ -851,6 +851,17 @@ def i2_route_monthly_performance(b):
     return matviews.route_monthly_performance(b.shipments)
 
 
+@query
+def i1_carrier_stats_after_changes(b):
+    """The daily view kept as parts, after a day's changes: some shipments revalued, moved to another day or deleted."""
+    was = b.shipments.filter("id % 5 = 0")
+    now = was.filter("id % 15 <> 0").withColumns(
+        {"declared_value": (F.col("declared_value") * 2).cast("decimal(18,2)"), "departure_date": F.when(F.pmod("id", F.lit(2)) == 0, F.col("departure_date") + F.expr("interval 3 days")).otherwise(F.col("departure_date"))}
+    )
+    parts = lambda shipments: matviews.carrier_daily_parts(shipments, b.cargo, b.tracking_events, AS_OF)
+    return matviews.carrier_daily_finish(matviews.with_changes(parts(b.shipments), parts(was), parts(now), matviews.KEYS["mv_carrier_daily_stats"]))
+
+
 @query
 def i3_port_congestion(b):
     return matviews.port_congestion(b.port_calls, b.tracking_events)

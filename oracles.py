@@ -722,6 +722,12 @@ sql(
     {exact(money('sum(declared_value)') + ' * 10000', 'count(declared_value)', 6)} AS avg_declared_value, CAST(coalesce(sum(weight), 0) AS DOUBLE) AS total_weight_kg,
     CAST(coalesce(sum(bad), 0) AS BIGINT) AS exception_count FROM shipments s LEFT JOIN cargo_sum c ON c.shipment_id = s.id LEFT JOIN event_sum e ON e.shipment_id = s.id GROUP BY 1, 2""",
 )
+sql(
+    "i1_carrier_stats_after_changes",
+    DAILY.replace("shipments", "changed"),
+    """changed AS (SELECT * REPLACE (CASE WHEN id % 5 = 0 THEN 2 ELSE 1 END * declared_value AS declared_value,
+      departure_date + CASE WHEN id % 10 = 0 THEN INTERVAL 3 DAY ELSE INTERVAL 0 DAY END AS departure_date) FROM shipments WHERE id % 15 <> 0)""",
+)
 sql(
     "i2_route_monthly_performance",
     f"""SELECT route_id, CAST(date_trunc('month', departure_date) AS DATE) AS stat_month, count(*) AS shipment_count,
