@@ -238,11 +238,11 @@ def test_a_step_is_the_gradient_of_the_likelihood():
         logits = language_model._logits(weights, *used)
         return -np.logaddexp(0, np.where(taken > 0, -logits, logits)).sum()
 
-    taken, alone, with_before, first, with_skip = model.features(codes[own], lengths[own], to_cell[own], before, skip)
+    taken, with_before, first, alone, with_skip = model.features(codes[own], lengths[own], to_cell[own], before, skip)
     weights = model.weights.astype(float)
-    error = 1 / (1 + np.exp(-language_model._logits(weights, alone, with_before, first, with_skip))) - taken
+    error = 1 / (1 + np.exp(-language_model._logits(weights, with_before, first, alone, with_skip))) - taken
     gradient = np.zeros(len(weights))
-    for used, part in ((alone, error), (with_before, error), (with_skip, error[first])):
+    for used, part in ((with_before, error), (alone, error[first]), (with_skip, error[first])):
         np.add.at(gradient, used, part)
     for slot in {*with_before[:6].tolist(), *alone[:6].tolist(), *with_skip[:6].tolist()}:
         ahead, behind = weights.copy(), weights.copy()
