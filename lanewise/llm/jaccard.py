@@ -336,7 +336,9 @@ def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     Rows are told apart by doc_id and text: of different texts of a group under the least doc_id one stays, and a text that shares its doc_id
     with a dropped one is not dropped with it. Repeated rows, equal in doc_id and text, stay or go together.
     """
-    grouped = _grouped(docs, text, doc_id)
+    # In a pipeline these tables lie beside those of the other stages, so they are packed more tightly.
+    with settings(docs.sparkSession, {"spark.sql.parquet.compression.codec": "zstd"}):
+        grouped = _grouped(docs, text, doc_id)
     order = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "version")
     kept = grouped.groupBy("component").agg(F.min(order).alias("k")).select("k.doc_id", "k.version").distinct()
     kept_id, kept_version, version = (unused(docs, c) for c in ("kept_id", "kept_version", "version"))
