@@ -384,8 +384,8 @@ def c19_lookups(b):
 def c19_similar_names(b):
     """The three companies whose names are most like those of every hundredth, misspelt and with its tax id."""
     wanted = b.companies.filter("id % 100 = 0").select("id", F.concat(F.regexp_replace("legal_name", "Customer", "Custmer"), F.lit(" & "), F.col("tax_id")).alias("text"))
-    index = names.gram_index(b.companies.withColumn("name", F.concat_ws(" ", "legal_name", "tax_id")), "id", "name")
-    return names.search(index, wanted, "id", "text", names.ALIKE, 3).select("query", "key", "similarity")
+    held = materialized(names.gram_index(b.companies.withColumn("name", F.concat_ws(" ", "legal_name", "tax_id")), "id", "name")[0])
+    return names.search((held, names.postings(held)), wanted, "id", "text", names.ALIKE, 3).select("query", "key", "similarity")
 
 
 @query

@@ -49,6 +49,29 @@ def test_search_finds_all_alike(spark, firms, threshold):
     assert ranked == {a: b[:3] for a, b in first.items()}
 
 
+def test_first_names_among_many_with_common_grams(spark):
+    texts = {k: f"Customer#{k:09d} TAX{k:010d}" for k in range(0, 90000, 300)} | {90001: "Customer elsewhere", 90002: "Customer elsewhere"}
+    asked = {k: f"Custmer#{k:09d} & TAX{k:010d}" for k in range(0, 90000, 3000)} | {1: "Custom", 2: "xyzzy", 3: "Customer elsewhere"}
+    frame = lambda d, names_: spark.createDataFrame([*d.items()], names_)
+    index = names.gram_index(frame(texts, "id int, name string"), "id", "name")
+    held, wanted = {k: grams(t) for k, t in texts.items()}, frame(asked, "id int, text string")
+    want = {}
+    for q, t in asked.items():
+        best = sorted((-alike(grams(t), g), k) for k, g in held.items() if alike(grams(t), g) >= 0.3)[:3]
+        want |= {(q, k): -s for s, k in best}
+    got = {(r["query"], r["key"]): r["similarity"] for r in names.search(index, wanted, "id", "text", 0.3, 3).collect()}
+    assert got == pytest.approx(want) and {q for q, _ in want} >= {1, 3} and (2, 0) not in got
+
+
+def test_few_pairs_are_compared_at_a_high_similarity(spark, monkeypatch):
+    texts = [(k, f"Customer#{k:09d} TAX{k:010d}") for k in range(100000, 130000, 97)]
+    df, seen = spark.createDataFrame(texts, "id int, name string"), []
+    pairs = names._pairs
+    monkeypatch.setattr(names, "_pairs", lambda postings, each, t: seen.append((t, each.select("query").distinct().count(), pairs(postings, each, t).count())) or pairs(postings, each, t))
+    names.search(names.gram_index(df, "id", "name"), df.limit(40), "id", "name", 0.3, 1).collect()
+    assert seen[0][0] == 0.7 and len(seen) == 1 and seen[0][2] < 0.1 * 40 * len(texts)
+
+
 def contained(a, b, top=True):
     if isinstance(b, dict):
         return isinstance(a, dict) and all(k in a and contained(a[k], v, False) for k, v in b.items())
