@@ -15,8 +15,7 @@ from __future__ import annotations
 import contextlib
 from collections.abc import Callable, Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
@@ -32,6 +31,7 @@ _OUTPUT = f"webhook_id string, {_MESSAGE}, raw_body binary, signature string, re
 _ACK = "webhook_id string, outcome string"
 _STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _COLUMNS = [c.split()[0] for c in _MESSAGE.split(", ")]
+_SAID = Row(*[c.split()[0] for c in _OUTPUT.split(", ")])
 
 
 @contextlib.contextmanager
@@ -58,8 +58,8 @@ class Retries(StatefulProcessor):
         self.waiting = handle.getValueState("waiting", f"{_MESSAGE}, retries int")
         self.recorded = handle.getValueState("recorded", "yes boolean", self.forget_ms) if self.forget_ms else handle.getValueState("recorded", "yes boolean")
 
-    def _row(self, key: str, message: tuple, retries: int, status: str, now: int, raw=None, signature=None) -> tuple:
-        return (key, *message, raw, signature, retries, status, now * 1000)
+    def _row(self, key: str, message: tuple, retries: int, status: str, now: int, raw=None, signature=None) -> Row:
+        return _SAID(key, *message, raw, signature, retries, status, now * 1000)
 
     def _wait(self, message: tuple, retries: int, now: int) -> None:
         """Keep the message and set the next try: after the pause, or when the message expires if that is sooner."""
@@ -72,45 +72,37 @@ class Retries(StatefulProcessor):
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        now, out, found = timerValues.getCurrentProcessingTimeInMs(), [], pd.concat(list(rows))
-        for outcome in found.loc[found["kind"] == "ack", "outcome"]:
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        now, found = timerValues.getCurrentProcessingTimeInMs(), list(rows)
+        for outcome in (r.outcome for r in found if r.kind == "ack"):
             if outcome in ("matched", "already_processed"):
                 self.recorded.update((True,))
             if outcome != "retry":
                 self._done()
-        refused = found[~found["kind"].isin(["ack", "message"])]
-        for r in refused.itertuples(index=False):
-            out.append(self._row(None, tuple(getattr(r, c) for c in _COLUMNS), 0, r.kind, now, r.raw_body, r.signature))
-        messages = found[found["kind"] == "message"].sort_values(["received_us", "carrier_code", "shipment_reference"])
-        for r in messages.itertuples(index=False):
-            message = (r.carrier_code, r.event_type, r.shipment_reference, int(r.event_us), r.payload, int(r.received_us))
-            if self.recorded.exists() or self.waiting.exists():
-                out.append(self._row(key[0], message, 0, "already_processed", now))
-            else:
+        for r in found:
+            if r.kind not in ("ack", "message"):
+                yield self._row(None, tuple(r[c] for c in _COLUMNS), 0, r.kind, now, r.raw_body, r.signature)
+        order = lambda r: [(r[c] is None, r[c]) for c in ("received_us", "carrier_code", "shipment_reference")]
+        messages = sorted((r for r in found if r.kind == "message"), key=order)
+        known = bool(messages) and (self.recorded.exists() or self.waiting.exists())
+        for r in messages:
+            message = tuple(r[c] for c in _COLUMNS)
+            if not known:
                 self._wait(message, 0, now)
-                out.append(self._row(key[0], message, 0, "try", now))
-        yield _frame(out)
+            yield self._row(key[0], message, 0, "already_processed" if known else "try", now)
+            known = True
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        out = []
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         if self.waiting.exists():
             *message, retries = self.waiting.get()
             now = timerValues.getCurrentProcessingTimeInMs()
             self._wait(tuple(message), retries + 1, now)
-            out.append(self._row(key[0], tuple(message), retries + 1, "try", now))
-        yield _frame(out)
+            yield self._row(key[0], tuple(message), retries + 1, "try", now)
 
     def close(self) -> None:
         pass
 
 
-def _frame(rows: list[tuple]) -> pd.DataFrame:
-    names = [c.split()[0] for c in _OUTPUT.split(", ")]
-    frame = pd.DataFrame(rows, columns=names)
-    return frame.astype({"event_us": "Int64", "received_us": "Int64", "decided_us": "Int64", "retries": "Int32"})
-
-
 class KeyedIngest:
     """The sinks below ``root``: events, closed, quarantine, and acks, which the state reads."""
 
@@ -153,7 +145,7 @@ class KeyedIngest:
         acks = spark.readStream.schema(f"{_ACK}, batch int").parquet(f"{self.root}/acks")
         blank = [F.lit(None).cast(t.split()[1]).alias(t.split()[0]) for t in _INPUT.split(", ")[2:-1]]
         told = acks.select(F.col("webhook_id").alias("key"), F.lit("ack").alias("kind"), *blank, "outcome")
-        return fresh.unionByName(told).groupBy("key").transformWithStateInPandas(Retries(*self.processor), _OUTPUT, "append", "ProcessingTime")
+        return fresh.unionByName(told).groupBy("key").transformWithState(Retries(*self.processor), _OUTPUT, "append", "ProcessingTime")
 
     def _write(self, df: DataFrame, sink: str, batch: int) -> None:
         df.write.mode("overwrite").parquet(f"{self.root}/{sink}/batch={batch}")

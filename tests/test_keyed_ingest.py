@@ -6,11 +6,12 @@ import time
 from datetime import datetime, timedelta, timezone
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 from test_streaming import body, message
 
 from lanewise.sources.schemas import MESSAGE
-from lanewise.streaming.keyed_ingest import KeyedIngest
+from lanewise.streaming.keyed_ingest import KeyedIngest, Retries
 
 
 @pytest.fixture(scope="module")
@@ -79,3 +80,37 @@ def test_retries_expiry_and_restart(spark, table, carriers, tmp_path):
         ingest.start(stream(), str(tmp_path / "cp2"))
 
 
+
+
+def test_a_key_works_on_rows_with_few_calls_of_its_state():
+    calls = []
+
+    class State:
+        value = None
+
+        def exists(self):
+            calls.append("exists")
+            return self.value is not None
+
+        def update(self, value):
+            calls.append("update")
+            self.value = value
+
+    class Handle:
+        def getValueState(self, *_):
+            return State()
+
+        def registerTimer(self, at):
+            calls.append(("timer", at))
+
+    class Clock:
+        def getCurrentProcessingTimeInMs(self):
+            return 5_000
+
+    names = "key kind carrier_code event_type shipment_reference event_us payload received_us raw_body signature outcome".split()
+    sent = lambda us, code: Row(*names)("w", "message", code, "GATE", "S1", 1, "{}", us, b"", "", None)
+    state = Retries(30, 3600, None)
+    state.init(Handle())
+    said = list(state.handleInputRows(("w",), iter([sent(2, "B"), sent(1, "Z"), sent(1, None), sent(1, "A")]), Clock()))
+    assert [(r.carrier_code, r.status) for r in said] == [("A", "try"), ("Z", "already_processed"), (None, "already_processed"), ("B", "already_processed")]
+    assert calls == ["exists", "exists", "update", ("timer", 35_000)]
