@@ -88,11 +88,13 @@ def shipment_detail(shipments: DataFrame, carriers: DataFrame, companies: DataFr
 
     One row per shipment, whatever it carries; the items themselves are ``cargo_pages``.
     """
-    named = joins.with_latest_event(joins.with_carrier(shipments, carriers), events)
-    for role in ("shipper", "consignee"):
-        named = named.join(companies.select(F.col("id").alias(f"{role}_id"), F.col("legal_name").alias(f"{role}_name")), f"{role}_id")
     counts = cargo.groupBy(F.col("shipment_id").alias("id")).agg(F.count("*").alias("cargo_count"))
-    joined = named.join(counts, "id", "left")
+    joined = joins.with_latest_event(shipments.join(counts, "id", "left"), events)
+    # both names are looked up for the pairs that occur, so that the whole rows are shuffled once for the two
+    firms = shipments.select("shipper_id", "consignee_id").distinct()
+    for role in ("shipper", "consignee"):
+        firms = firms.join(companies.select(F.col("id").alias(f"{role}_id"), F.col("legal_name").alias(f"{role}_name")), f"{role}_id")
+    joined = joins.with_carrier(joined, carriers).join(firms, ["shipper_id", "consignee_id"])
     end = F.coalesce(F.col("actual_arrival"), C.instant(as_of))
     return joined.select(
         "id",

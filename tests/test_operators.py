@@ -130,6 +130,23 @@ def test_detail_has_a_row_per_shipment_and_pages_hold_cargo_whole(table):
     assert [(r["shipment_id"], r["cargo_page"], [i["id"] for i in r["cargo_items"]]) for r in pages] == [("s1", 0, ["g0", "g1"]), ("s1", 1, ["g2", "g3"]), ("s1", 2, ["g4"])]
 
 
+def test_detail_shuffles_whole_shipments_three_times_at_most(spark, table):
+    for name, value in (("spark.sql.autoBroadcastJoinThreshold", "-1"), ("spark.sql.adaptive.enabled", "false")):
+        spark.conf.set(name, value)
+    try:
+        companies = table("companies", {"id": "co1", "legal_name": "A"}, {"id": "co1", "legal_name": "A2"}, {"id": "co2", "legal_name": "B"})
+        shipments = table("shipments", {"id": "s1"}, {"id": "s1"}, {"id": "none"}, {"shipper_id": None}).withColumn("id", F.expr("nullif(id, 'none')"))
+        detail = projections.shipment_detail(shipments, table("carriers", {"id": "ca1"}), companies, table("cargo", {}, {}), table("tracking_events", {}), AS_OF)
+        plan = spark._jvm.PythonSQLUtils.explainString(detail._jdf.queryExecution(), "formatted")
+        wide = [part for part in plan.split("\n\n") if ") Exchange" in part and "hs_codes" in part]
+        rows = sorted((r["id"] or "", r["shipper_name"], r["consignee_name"], r["cargo_count"]) for r in detail.collect())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert 1 <= len(wide) <= 3
+    assert rows == sorted((i, a, "B", n) for i, n in (("s1", 2), ("s1", 2), ("", 0)) for a in ("A", "A2"))
+
+
 def test_page_size_is_refused_outside_its_limits(table):
     for size in (0, 201):
         with pytest.raises(ValueError, match="size"):
