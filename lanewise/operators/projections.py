@@ -9,6 +9,7 @@ from lanewise.functions import columns as C
 from lanewise.functions import domain
 from lanewise.operators import joins
 from lanewise.operators.ordering import Key, positions
+from lanewise.sources.checkpoints import materialized
 
 
 def shipment_list(shipments: DataFrame, carriers: DataFrame, routes: DataFrame, ports: DataFrame, as_of: str) -> DataFrame:
@@ -72,15 +73,21 @@ def event_timeline(events: DataFrame, ports: DataFrame) -> DataFrame:
 def cargo_pages(cargo: DataFrame, page_size: int = 500) -> DataFrame:
     """Cargo nested per shipment in pages of at most ``page_size`` items, in id order.
 
-    A shipment's items are whole over its pages, and no page grows with the shipment.
+    A shipment's items are whole over its pages, and no page grows with the shipment. Only the items of shipments with more than a page are numbered.
     """
     items = cargo_view(cargo)
-    placed = positions(items, [Key("id")], ["shipment_id"], into="_at")
-    nested = [c for c in items.columns if c != "shipment_id"]
+    nested = F.sort_array(F.collect_list(F.struct(*[c for c in items.columns if c != "shipment_id"]))).alias("cargo_items")
+    long = cargo.groupBy("shipment_id").agg(F.count("*").alias("_items")).filter(F.col("_items") > page_size).select(F.col("shipment_id").alias("_long"))
+    long = materialized(long)
+    first = F.lit(0).cast("long").alias("cargo_page")
+    if long.isEmpty():
+        return items.groupBy("shipment_id").agg(nested).select("shipment_id", first, "cargo_items")
+    is_long = F.col("shipment_id").eqNullSafe(F.col("_long"))
+    one_page = items.join(long, is_long, "left_anti").groupBy("shipment_id").agg(nested)
+    placed = positions(items.join(long, is_long, "left_semi"), [Key("id")], ["shipment_id"], into="_at")
     page = F.floor((F.col("_at") - 1) / page_size).cast("long")
-    return placed.groupBy("shipment_id", page.alias("cargo_page")).agg(
-        F.sort_array(F.collect_list(F.struct(*nested))).alias("cargo_items")
-    )
+    paged = placed.groupBy("shipment_id", page.alias("cargo_page")).agg(nested)
+    return paged.unionByName(one_page.select("shipment_id", first, "cargo_items"))
 
 
 def shipment_detail(shipments: DataFrame, carriers: DataFrame, companies: DataFrame, cargo: DataFrame, events: DataFrame, as_of: str) -> DataFrame:

@@ -147,6 +147,16 @@ def test_detail_shuffles_whole_shipments_three_times_at_most(spark, table):
     assert rows == sorted((i, a, "B", n) for i, n in (("s1", 2), ("s1", 2), ("", 0)) for a in ("A", "A2"))
 
 
+def test_only_shipments_with_more_than_a_page_are_numbered(table, monkeypatch):
+    cargo = table("cargo", *[{"id": f"g{n}", "shipment_id": s} for n, s in enumerate(["s1", "s1", "s2", None, None, None, "s3", "s3", "s3", "s3", "s3"])])
+    rows = lambda pages: sorted((r["shipment_id"] or "", r["cargo_page"], [i["id"] for i in r["cargo_items"]]) for r in pages.collect())
+    whole = [("", 0, ["g3", "g4"]), ("", 1, ["g5"]), ("s1", 0, ["g0", "g1"]), ("s2", 0, ["g2"]), ("s3", 0, ["g10", "g6"]), ("s3", 1, ["g7", "g8"]), ("s3", 2, ["g9"])]
+    numbered, positions = [], projections.positions
+    monkeypatch.setattr(projections, "positions", lambda df, *a, **k: numbered.append(df.count()) or positions(df, *a, **k))
+    assert rows(projections.cargo_pages(cargo, page_size=2)) == whole and numbered == [8]
+    assert len(rows(projections.cargo_pages(cargo, page_size=5))) == 4 and numbered == [8]
+
+
 def test_page_size_is_refused_outside_its_limits(table):
     for size in (0, 201):
         with pytest.raises(ValueError, match="size"):
