@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from lanewise.llm import chunks as ch
 from lanewise.llm import textblocks
-from lanewise.llm.shared import stored
+from lanewise.llm.shared import WIDE_ROWS, settings, stored
 
 LENGTH = 200
 #: Every number below PERIOD is a difference of two of these, modulo PERIOD.
@@ -192,7 +192,7 @@ def _asking(bits: int, known: int):
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in found], pa.int32()), pa.array([chunk] * len(found), pa.int64()), pa.array([m for _, m in found], pa.binary())], ["bucket", "chunk", "message"])
 
-    return run
+    return ch.freed(run)
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,17 +218,19 @@ def without_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     Null texts count as empty; shorter texts keep all. Repeated rows repeat each other's strings. Null doc_ids keep
     their rows. An empty table gives no rows. Other columns are not read.
     """
-    texts = ch.chunked(docs, text, doc_id, CHUNK_BYTES)
-    bits = ch.bucket_bits(ch.text_volume(texts), BUCKET_BYTES)
-    ranks = stored(ch.answered(texts.mapInArrow(_asking(bits, 0), ch.MESSAGES), _shared))
-    ranked = ch.with_answers(texts, ranks, "ranks")
-    settled = stored(ch.answered(ranked.mapInArrow(_asking(bits, 1), ch.MESSAGES), _settled))
-    ranked = ch.with_answers(ranked, settled, "settled")
-    buckets = stored(ch.answered(ranked.mapInArrow(_asking(bits, 2), ch.MESSAGES), _shared))
-    return ch.with_answers(ranked, buckets, "buckets").mapInArrow(_cut, "doc_id long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary")
+    with settings(docs.sparkSession, WIDE_ROWS):
+        texts = ch.chunked(docs, text, doc_id, CHUNK_BYTES)
+        bits = ch.bucket_bits(ch.text_volume(texts), BUCKET_BYTES)
+        ranks = stored(ch.answered(texts.mapInArrow(_asking(bits, 0), ch.MESSAGES), _shared))
+        ranked = ch.with_answers(texts, ranks, "ranks")
+        settled = stored(ch.answered(ranked.mapInArrow(_asking(bits, 1), ch.MESSAGES), _settled))
+        ranked = ch.with_answers(ranked, settled, "settled")
+        buckets = stored(ch.answered(ranked.mapInArrow(_asking(bits, 2), ch.MESSAGES), _shared))
+    return ch.with_answers(ranked, buckets, "buckets").mapInArrow(ch.freed(_cut), "doc_id long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary")
 
 
 def repeat_counts(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` of :func:`without_repeats`."""
     cut = without_repeats(docs, text, doc_id)
-    return cut.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    with settings(docs.sparkSession, WIDE_ROWS):
+        return stored(cut.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")))
