@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from lanewise.llm import chunks, jaccard, shared, suffix_dedup
+from lanewise.llm import chunks, jaccard, quality, shared, suffix_dedup
 
 
 def test_wide_rows_have_pages_of_their_own(spark, tmp_path):
@@ -44,3 +44,19 @@ def test_workers_get_few_texts_at_once(spark, monkeypatch):
     for module, run in ((suffix_dedup, suffix_dedup.repeat_counts), (jaccard, jaccard.jaccard_groups)):
         found = seen_while_storing(spark, monkeypatch, module, lambda run=run: run(docs).collect())
         assert len(found) > 4 and set(found) == {"4m"}
+
+
+def test_driver_gets_one_state_a_round_of_the_classifier(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, f"text number {k} of many") for k in range(200)], "doc_id long, text string")
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"))
+    kind, sizes = type(docs), []
+    collect = kind.collect
+
+    def spy(self):
+        rows = collect(self)
+        sizes.append(sum(len(v) for r in rows for v in r if isinstance(v, bytes | bytearray)))
+        return rows
+
+    monkeypatch.setattr(kind, "collect", spy)
+    quality.fit(docs, labels)
+    assert len(sizes) == quality.ROUNDS and max(sizes) == 16 * quality.SIZE
