@@ -13,7 +13,7 @@ Links inside one component need not be found, so a tile of near copies costs its
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,15 +23,13 @@ from pyspark.sql import functions as F
 from lanewise.llm import chunks as ch
 from lanewise.llm import textblocks
 from lanewise.llm.components import joined
-from lanewise.llm.shared import BATCH_BYTES, settings, stored, unused, whole_text
+from lanewise.llm.shared import WIDE_ROWS, settings, stored, unused, whole_text
 
 WORDS = 5
 #: Least similarity in hundredths.
 PERCENT = 75
 CHUNK_BYTES = 1_000_000
 BUCKET_BYTES = 8_000_000
-#: Of rows with texts, sets or signatures, so many bytes go to a worker at once.
-_BATCHES = {BATCH_BYTES: "4m"}
 #: Members that one task compares at once, and bytes of their signatures; larger tiles are dealt over a grid of slices.
 SLICE, SLICE_BYTES = 1024, 1_000_000
 _ROW_BITS = 16
@@ -115,16 +113,6 @@ def _folded(signatures: list, size: int) -> np.ndarray:
 SETS = "row long, n long, m long, d1 long, d2 long, hashes binary, prefix array<long>, signature binary"
 
 
-def _freed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
-    """``run``, whose worker gives its memory back afterwards."""
-
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        with ch.released():
-            yield from run(batches)
-
-    return whole
-
-
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of every text that may have a partner: its set and its prefix. Shingles that occur nowhere else are counted, not kept."""
     for batch in batches:
@@ -228,7 +216,7 @@ def _exact(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     for side in "ab":
         own = sets.select(F.col("row").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in ("n", "m", "signature", "hashes")])
         pairs = pairs.join(own, side)
-    return stored(pairs.mapInArrow(_freed(_linked), "a long, b long"), batch_rows=500)
+    return stored(pairs.mapInArrow(ch.freed(_linked), "a long, b long"), batch_rows=500)
 
 
 def _undecided(tiles: DataFrame, sets: DataFrame, found: DataFrame, nearest: bool) -> DataFrame:
@@ -251,7 +239,7 @@ def _undecided(tiles: DataFrame, sets: DataFrame, found: DataFrame, nearest: boo
     parts = dealt.withColumn("mine", mine).withColumn("part", F.explode(mixed)).select("pivot", "part.*", "row", "component", "major")
     parts = parts.join(sets.select("row", "n", "m", "signature"), "row")
     groups = parts.groupBy("pivot", "across", "i", "j").agg(F.collect_list(F.struct("row", "n", "m", "component", "major", "signature")).alias("members"))
-    pairs = groups.filter(F.size("members") > 1).select("members", "across").mapInArrow(_freed(_tile_pairs(nearest)), "a long, b long, apart long")
+    pairs = groups.filter(F.size("members") > 1).select("members", "across").mapInArrow(ch.freed(_tile_pairs(nearest)), "a long, b long, apart long")
     if nearest:
         pairs = pairs.groupBy("a").agg(F.min(F.struct("apart", "b")).alias("best")).select("a", "best.b")
     else:
@@ -265,9 +253,9 @@ class _Sets:
     def __init__(self, docs: DataFrame, text: str, doc_id: str) -> None:
         texts = ch.chunked(docs, text, doc_id, CHUNK_BYTES, versions=True)
         bits = ch.bucket_bits(ch.text_volume(texts), BUCKET_BYTES)
-        info = stored(texts.mapInArrow(_freed(_sizes), "chunk long, doc_ids array<long>, versions array<long>, sizes array<long>"), batch_rows=ch.BATCH)
+        info = stored(texts.mapInArrow(ch.freed(_sizes), "chunk long, doc_ids array<long>, versions array<long>, sizes array<long>"), batch_rows=ch.BATCH)
         answers = ch.answered(ch.asked(texts, _ask(bits)), _repeated)
-        sets = stored(ch.with_answers(info, answers).mapInArrow(_freed(_sets), SETS), batch_rows=ch.BATCH)
+        sets = stored(ch.with_answers(info, answers).mapInArrow(ch.freed(_sets), SETS), batch_rows=ch.BATCH)
         members = sets.select("row", "n", "d1", "d2")
         classes = members.groupBy("n", "d1", "d2").agg(F.min("row").alias("class"))
         self.members = stored(members.join(classes, ["n", "d1", "d2"]).select("row", "class"))
@@ -285,7 +273,7 @@ class _Sets:
 
 def _grouped(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
     """``row, doc_id, version, n_shingles, component`` of every row."""
-    with settings(docs.sparkSession, _BATCHES):
+    with settings(docs.sparkSession, WIDE_ROWS):
         return _with_components(_Sets(docs, text, doc_id))
 
 
@@ -322,7 +310,7 @@ def jaccard_links(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -
     class is null link with nothing. Nulls, repeated rows and empty tables as in :func:`jaccard_groups`. Links are as many as they are, so a
     group of near copies of N different texts may have N * N / 2.
     """
-    with settings(docs.sparkSession, _BATCHES):
+    with settings(docs.sparkSession, WIDE_ROWS):
         own = _Sets(docs, text, doc_id)
         pairs = _undecided(own.tiles.select("row", "pivot"), own.sets, own.alone, nearest=False)
         links = _exact(pairs, own.sets)
