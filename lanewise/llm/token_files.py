@@ -63,26 +63,29 @@ class _Pieces(dict):
 
     def encode_fresh(self) -> None:
         """Pieces met since the last call, the common ones in one call of the library: each begins with a token that opens with the space."""
+        if not self.fresh:
+            return
         known = len(self) - len(self.fresh)
-        found: list[np.ndarray | None] = [None] * len(self.fresh)
-        plain = [k for k, p in enumerate(self.fresh) if " " not in p]
-        if plain:
-            ids = self.encode("".join([" " + self.fresh[k] for k in plain]))
-            parts = np.split(ids, np.flatnonzero(self.opens[ids])[1:])
-            if len(parts) == len(plain):
-                for k, part in zip(plain, parts, strict=True):
-                    found[k] = part
-        for k, piece in enumerate(self.fresh):
-            if found[k] is None:
-                found[k] = self.encode(piece[2:] if piece.startswith("  ") else " " + piece)
-        if found:
-            ends = self.starts[known] + np.cumsum([len(f) for f in found])
-            while len(self.starts) <= len(self):
-                self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
-            while len(self.ids) < ends[-1]:
-                self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-            self.ids[self.starts[known] : ends[-1]] = np.concatenate(found)
-            self.starts[known + 1 : len(self) + 1] = ends
+        plain = np.flatnonzero([" " not in p for p in self.fresh])
+        joined = self.encode("".join([" " + self.fresh[k] for k in plain]))
+        first = np.flatnonzero(self.opens[joined])
+        if len(first) != len(plain) or (len(first) and first[0]):
+            plain, joined, first = plain[:0], joined[:0], first[:0]
+        apart = np.delete(np.arange(len(self.fresh)), plain)
+        found = [self.encode(p[2:] if p.startswith("  ") else " " + p) for p in map(self.fresh.__getitem__, apart)]
+        size = np.empty(len(self.fresh), np.int64)
+        size[plain] = np.diff(np.append(first, len(joined)))
+        size[apart] = [len(f) for f in found]
+        ends = self.starts[known] + np.cumsum(size)
+        while len(self.starts) <= len(self):
+            self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
+        while len(self.ids) < ends[-1]:
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        begins = ends - size
+        self.ids[np.arange(len(joined)) + np.repeat(begins[plain] - first, size[plain])] = joined
+        for a, ids in zip(begins[apart], found, strict=True):
+            self.ids[a : a + len(ids)] = ids
+        self.starts[known + 1 : len(self) + 1] = ends
 
     def forget(self) -> None:
         """Of the pieces met since the last call, keep all while there is room, else none."""
