@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import math
+import pickle
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -251,6 +253,47 @@ def test_a_step_is_the_gradient_of_the_likelihood():
         assert -gradient[slot] == pytest.approx((likelihood(ahead) - likelihood(behind)) / 2e-5, abs=1e-5)
 
 
+def test_a_broadcast_model_learns_with_plain_floats():
+    """Unpickled weights have a type object of their own, for which each addition takes ``add.at``'s slow way."""
+    model = small_vocabulary()[0]
+    data, offsets = textblocks.text_bytes(pa.array([" ".join(f"w{(k * j) % 97}" for j in range(400)) for k in range(40)]))
+    n = len(np.unique(language_model._tokens(data, offsets)[0]))
+    answer = language_model.answer_about(np.full(n, 9), np.arange(n, dtype=np.uint64), np.full(n, 7))
+    batch = pa.RecordBatch.from_pydict({"chunk": [0], "doc_ids": [[*range(40)]], "ends": [offsets[1:].tolist()], "body": [data.tobytes()], "answers": [[{"bucket": 0, "answer": answer}]]})
+
+    def seconds(m):
+        begun = time.process_time()
+        change, squares = language_model._learn(m, iter([batch] * 10), 0, 7, 2)
+        return time.process_time() - begun, change, squares
+
+    seconds(model)
+    here, there = seconds(model), seconds(pickle.loads(pickle.dumps(model)))
+    assert (here[1] == there[1]).all() and (here[2] == there[2]).all() and np.abs(here[1]).sum() > 0
+    assert there[0] < 2 * here[0] + 0.1
+    assert pickle.loads(pickle.dumps(model)).weights.dtype is np.dtype(np.float32)
+
+
+def test_features_are_those_of_the_splits():
+    """Word by word and split by split: the split is a one and the code down to it."""
+    model = language_model.Model(10, 5, np.zeros(language_model.CELLS, np.int64), 6)
+    rng = np.random.default_rng(3)
+    lengths = np.array([1, 64, 7, 30, 12])
+    codes = (rng.integers(0, 2**64, 5, dtype=np.uint64) >> (64 - lengths).astype(np.uint64)) << (64 - lengths).astype(np.uint64)
+    to_cell, before, skip = np.array([1, 9, 7, 40, 0]), rng.integers(0, 2**64, 5, dtype=np.uint64), rng.integers(0, 2**64, 5, dtype=np.uint64)
+    down, spread, mixed = 65 - len(model.weights).bit_length(), int(language_model._SPLIT), int(language_model._WITH)
+    want = [[], [], [], [], []]
+    for code, n, cell, b, s in zip(codes.tolist(), lengths.tolist(), to_cell.tolist(), before.tolist(), skip.tolist(), strict=True):
+        for depth in range(n):
+            split = ((code >> (64 - depth) | 1 << depth) * spread) % 2**64
+            if depth < cell:
+                want[2].append(len(want[0]))
+                want[3].append(split >> down)
+                want[4].append(((split ^ s) * mixed) % 2**64 >> down)
+            want[0].append(code >> (63 - depth) & 1)
+            want[1].append(((split ^ b) * mixed) % 2**64 >> down)
+    assert [x.tolist() for x in model.features(codes, lengths, to_cell, before, skip)] == want
+
+
 def test_held_out_texts_gain(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     out = [r for r in language_model.language_scores(docs).collect() if r["held_out"]]
