@@ -24,10 +24,12 @@ def pads(secret: Column) -> tuple[Column, Column]:
     """(inner, outer) pad of a secret: its bytes, or their digest if they are more than a block, filled up with zeros, xor a constant."""
     key = F.when(F.octet_length(secret) > _BLOCK, F.sha2(secret.cast("binary"), 256)).otherwise(F.hex(secret.cast("binary")))
     filled = F.rpad(key, 2 * _BLOCK, "0")
+    text = F.decode(F.unhex(filled), "ISO-8859-1")
 
     def pad(constant: int) -> Column:
-        byte = lambda i: F.conv(F.substring(filled, i * 2 + 1, F.lit(2)), 16, 10).cast("int").bitwiseXOR(F.lit(constant))
-        return F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(_BLOCK - 1)), lambda i: F.lpad(F.hex(byte(i)), 2, "0")), ""))
+        # all bytes by one table: each becomes the character U+0100 plus the byte wanted, two bytes in UTF-16, since U+0000 would be dropped
+        wanted = F.translate(text, "".join(map(chr, range(256))), "".join(chr(256 + (b ^ constant)) for b in range(256)))
+        return F.coalesce(F.unhex(F.regexp_replace(F.hex(F.encode(wanted, "UTF-16BE")), "01(..)", "$1")), F.lit(b""))
 
     return pad(_INNER), pad(_OUTER)
 

@@ -24,7 +24,7 @@ from lanewise.plans import jobs, matviews, reports, sketches, snapshots
 from lanewise.plans.refresh import Freight, populate_snapshots, refresh_periods, refresh_views, view_table
 from lanewise.sources import generator, tables
 from lanewise.sources.bindings import Bindings
-from lanewise.sources.checkpoints import materialized, run_folder
+from lanewise.sources.checkpoints import materialized, run_folder, shuffle_files_deleted
 from lanewise.sources.periods import PeriodTable
 from lanewise.sources.snapshot_store import SnapshotStore
 from lanewise.sources.versions import replaced
@@ -997,7 +997,8 @@ def k1_keyed_events(b):
     spark = b.shipments.sparkSession
     folder = run_folder(spark)
     sent = _messages(b)
-    sent.write.parquet(f"{folder}/sent")
+    with shuffle_files_deleted(spark):
+        sent.write.parquet(f"{folder}/sent")
     handled = materialized(jobs.processed_webhooks(b.tracking_events))
     handler = keyed_ingest.KeyedIngest(f"{folder}/out", lambda: (handled, b.carriers, b.shipments))
     handler.start(spark.readStream.schema(sent.schema).parquet(f"{folder}/sent"), f"{folder}/checkpoint", once=True).awaitTermination()

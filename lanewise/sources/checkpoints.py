@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,3 +33,15 @@ def shared_folder(spark: SparkSession) -> str:
 def run_folder(spark: SparkSession) -> str:
     """A new folder below the shared one, for datasets of one run."""
     return f"{shared_folder(spark).rstrip('/')}/run-{uuid.uuid4().hex}"
+
+
+@contextlib.contextmanager
+def shuffle_files_deleted(spark: SparkSession) -> Iterator[None]:
+    """The shuffle files of a write inside are deleted when the write has ended, not when the driver collects garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)

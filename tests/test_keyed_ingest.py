@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from test_streaming import body, message
 
 from lanewise.sources.schemas import MESSAGE
-from lanewise.streaming.keyed_ingest import KeyedIngest, Retries
+from lanewise.streaming.keyed_ingest import BUCKETS, Buckets, KeyedIngest, Retries
 
 
 @pytest.fixture(scope="module")
@@ -114,3 +114,79 @@ def test_a_key_works_on_rows_with_few_calls_of_its_state():
     said = list(state.handleInputRows(("w",), iter([sent(2, "B"), sent(1, "Z"), sent(1, None), sent(1, "A")]), Clock()))
     assert [(r.carrier_code, r.status) for r in said] == [("A", "try"), ("Z", "already_processed"), (None, "already_processed"), ("B", "already_processed")]
     assert calls == ["exists", "exists", "update", ("timer", 35_000)]
+
+
+class Store:
+    """What Spark keeps for one bucket: the waiting messages, the recorded ids, the timers; and the calls made for them."""
+
+    def __init__(self):
+        self.value, self.known, self.timers, self.calls = None, set(), set(), 0
+
+    def _called(self, result=None):
+        self.calls += 1
+        return result
+
+    def getValueState(self, *_):
+        return self
+
+    getMapState = getValueState
+    get = lambda self: self._called(self.value)
+    update = lambda self, value: self._called(setattr(self, "value", value))
+    clear = lambda self: self._called(setattr(self, "value", None))
+    exists = lambda self: self._called(bool(self.known))
+    containsKey = lambda self, key: self._called(key in self.known)
+    updateValue = lambda self, key, _: self._called(self.known.add(key))
+    registerTimer = lambda self, at: self._called(self.timers.add(at))
+    deleteTimer = lambda self, at: self._called(self.timers.remove(at))
+
+
+class Clock:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getCurrentProcessingTimeInMs(self):
+        return self.ms
+
+
+def incoming(key, kind="message", us=1, outcome=None, raw=None):
+    names = "bucket key kind carrier_code event_type shipment_reference event_us payload received_us raw_body signature outcome".split()
+    return Row(*names)(7, key, kind, "C", "GATE", "S1", 1, '{"é": "\\""}', us, raw, None, outcome)
+
+
+def test_ids_of_a_bucket_cost_one_read_and_one_write_and_each_has_its_own_state():
+    store = Store()
+
+    def batch(ms, *rows):
+        state = Buckets(30, 3600, None)  # each batch has a processor of its own; only the store stays
+        state.init(store)
+        said = list(state.handleInputRows((7,), iter(rows), Clock(ms)))
+        return sorted((str(r.webhook_id), r.status, r.retries) for r in said)
+
+    many = [f"w{n}" for n in range(500)]
+    said = batch(1_000_000, *[incoming(w, us=us) for us in (1_000_000_000, 999_000_000) for w in many], incoming(None, "malformed", raw=b"junk"))
+    assert said == sorted([(w, status, 0) for w in many for status in ("try", "already_processed")] + [("None", "malformed", 0)])
+    assert store.timers == {1_030_000} and store.calls <= 5
+    assert batch(1_001_000, incoming("w0", "ack", outcome="matched"), incoming("w1", "ack", outcome="expired"), incoming("w2", "ack", outcome="retry")) == []
+    assert batch(1_002_000, *[incoming(w, us=1_002_000_000) for w in ("w0", "w1", "w2")]) == [("w0", "already_processed", 0), ("w1", "try", 0), ("w2", "already_processed", 0)]
+    assert store.known == {("w0",)} and store.timers == {1_030_000, 1_032_000}
+
+    def fired(ms, at):
+        state = Buckets(30, 3600, None)
+        state.init(store)
+        said = [(r.webhook_id, r.status, r.retries, r.payload) for r in state.handleExpiredTimer((7,), Clock(ms), None)]
+        store.timers.remove(at)  # Spark's part
+        return said
+
+    again = fired(1_031_000, 1_030_000)
+    assert sorted(again) == sorted((w, "try", 1, '{"é": "\\""}') for w in many if w not in ("w0", "w1"))
+    assert fired(1_040_000, 1_032_000) == [("w1", "try", 1, '{"é": "\\""}')] and store.timers == {1_091_000, 1_100_000}
+    batch(1_041_000, *[incoming(w, "ack", outcome="expired") for w in many])
+    assert store.value is None and store.timers == set() and store.known == {("w0",)}
+
+
+def test_the_stream_is_grouped_by_buckets_of_ids(spark, carriers, table, tmp_path):
+    feed(spark, str(tmp_path / "in"), message(body("a"), at="2024-03-01"))
+    ingest = KeyedIngest(str(tmp_path / "out"), lambda: (spark.createDataFrame([], "webhook_id string"), carriers, table("shipments", {})))
+    said = ingest.keyed(spark.readStream.schema(MESSAGE).parquet(str(tmp_path / "in")))
+    plan = said._jdf.queryExecution().analyzed().toString()
+    assert "TransformWithState" in plan and "pmod(xxhash64(webhook_id" in plan and f"{BUCKETS}" in plan
