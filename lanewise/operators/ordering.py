@@ -197,8 +197,18 @@ def ranged_scan(df: DataFrame, group: list[str], keys: list[Key], sums: list[str
     return scanned.drop(*group, *values, "_range", *[f"_in_{c}" for c in (*sums, *lasts)])
 
 
-def positions(df: DataFrame, keys: list[Key], group: list[str] = (), into: str = "position", total: str | None = None) -> DataFrame:
-    """1-based row number in ``keys`` order within ``group``; the last key must be unique."""
+def positions(df: DataFrame, keys: list[Key], group: list[str] = (), into: str = "position", total: str | None = None, whole: bool = False) -> DataFrame:
+    """1-based row number in ``keys`` order within ``group``; the last key must be unique.
+
+    ``whole``: each group is known to fit a task, and is numbered there, with no shuffle if ``df`` is dealt by the group already.
+    """
+    if whole:
+        rows, levels = with_levels(df, list(keys))
+        every = Window.partitionBy(*group)
+        added = {into: F.row_number().over(every.orderBy(*[f"_k{n}" for n in range(len(keys))])).cast("long")}
+        if total:
+            added[total] = F.count("*").over(every)
+        return rows.withColumns(added).drop(*levels)
     rows = df.withColumn("_one", F.lit(1).cast("long"))
     scanned = ranged_scan(rows, list(group), list(keys), sums=["_one"], totals=["_one"] if total else [])
     added = {into: F.col("before__one") + 1}

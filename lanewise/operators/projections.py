@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lanewise.functions import columns as C
 from lanewise.functions import domain
 from lanewise.operators import joins
-from lanewise.operators.ordering import Key, positions
-from lanewise.sources.checkpoints import materialized
+from lanewise.operators.ordering import Key, positions, union_all
+from lanewise.sources.checkpoints import materialized, shuffle_files_deleted
+
+#: Items of a shipment that one task numbers.
+MOST_IN_A_TASK = 1 << 16
 
 
 def shipment_list(shipments: DataFrame, carriers: DataFrame, routes: DataFrame, ports: DataFrame, as_of: str) -> DataFrame:
@@ -32,24 +36,31 @@ def shipment_list(shipments: DataFrame, carriers: DataFrame, routes: DataFrame,
     )
 
 
+_CARGO = (
+    "id",
+    "shipment_id",
+    "cargo_type",
+    "cargo_type_display",
+    "description",
+    "container_number",
+    "gross_weight_kg",
+    "net_weight_kg",
+    "volume_cbm",
+    "package_count",
+    "package_type",
+    "is_hazmat",
+    "un_number",
+    "temperature_min_c",
+    "temperature_max_c",
+)
+
+
+def _cargo_column(name: str) -> Column:
+    return C.label("cargo_type", domain.CARGO_TYPES).alias(name) if name == "cargo_type_display" else F.col(name)
+
+
 def cargo_view(cargo: DataFrame) -> DataFrame:
-    return cargo.select(
-        "id",
-        "shipment_id",
-        "cargo_type",
-        C.label("cargo_type", domain.CARGO_TYPES).alias("cargo_type_display"),
-        "description",
-        "container_number",
-        "gross_weight_kg",
-        "net_weight_kg",
-        "volume_cbm",
-        "package_count",
-        "package_type",
-        "is_hazmat",
-        "un_number",
-        "temperature_min_c",
-        "temperature_max_c",
-    )
+    return cargo.select(*map(_cargo_column, _CARGO))
 
 
 def event_timeline(events: DataFrame, ports: DataFrame) -> DataFrame:
@@ -74,20 +85,31 @@ def cargo_pages(cargo: DataFrame, page_size: int = 500) -> DataFrame:
     """Cargo nested per shipment in pages of at most ``page_size`` items, in id order.
 
     A shipment's items are whole over its pages, and no page grows with the shipment. Only the items of shipments with more than a page are numbered.
+    Items are shuffled once, by shipment; those of a shipment with more than ``MOST_IN_A_TASK`` are numbered by ranges, so that it need not fit one task.
     """
-    items = cargo_view(cargo)
-    nested = F.sort_array(F.collect_list(F.struct(*[c for c in items.columns if c != "shipment_id"]))).alias("cargo_items")
-    long = cargo.groupBy("shipment_id").agg(F.count("*").alias("_items")).filter(F.col("_items") > page_size).select(F.col("shipment_id").alias("_long"))
-    long = materialized(long)
+    spark, items = cargo.sparkSession, cargo.select(*[c for c in _CARGO if c != "cargo_type_display"])  # labels are added after the shuffle
+    nested = F.sort_array(F.collect_list(F.struct(*[_cargo_column(c) for c in _CARGO if c != "shipment_id"]))).alias("cargo_items")
     first = F.lit(0).cast("long").alias("cargo_page")
-    if long.isEmpty():
+    counts = cargo.groupBy("shipment_id").agg(F.count("*").alias("_items"))
+    with shuffle_files_deleted(spark):
+        most = counts.agg(F.max("_items")).first()[0] or 0
+    if most <= page_size:
         return items.groupBy("shipment_id").agg(nested).select("shipment_id", first, "cargo_items")
-    is_long = F.col("shipment_id").eqNullSafe(F.col("_long"))
-    one_page = items.join(long, is_long, "left_anti").groupBy("shipment_id").agg(nested)
-    placed = positions(items.join(long, is_long, "left_semi"), [Key("id")], ["shipment_id"], into="_at")
-    page = F.floor((F.col("_at") - 1) / page_size).cast("long")
-    paged = placed.groupBy("shipment_id", page.alias("cargo_page")).agg(nested)
-    return paged.unionByName(one_page.select("shipment_id", first, "cargo_items"))
+    page = F.floor((F.col("_at") - 1) / page_size).cast("long").alias("cargo_page")
+    paged = lambda placed: placed.groupBy("shipment_id", page).agg(nested)
+    frames = []
+    if most > max(page_size, MOST_IN_A_TASK):
+        with shuffle_files_deleted(spark):
+            large = F.broadcast(materialized(counts.filter(F.col("_items") > max(page_size, MOST_IN_A_TASK)).select(F.col("shipment_id").alias("_large"))))
+        is_large = F.col("shipment_id").eqNullSafe(F.col("_large"))
+        frames.append(paged(positions(items.join(large, is_large, "left_semi"), [Key("id")], ["shipment_id"], into="_at")))
+        items = items.join(large, is_large, "left_anti")
+    # both windows and both groupings need the items by shipment only, so they share one shuffle
+    sized = items.withColumn("_items", F.count("*").over(Window.partitionBy("shipment_id")))
+    long = sized.filter(F.col("_items") > page_size).drop("_items")
+    frames.append(paged(positions(long, [Key("id")], ["shipment_id"], into="_at", whole=True)))
+    one_page = sized.filter(F.col("_items") <= page_size).groupBy("shipment_id").agg(nested)
+    return union_all([*frames, one_page.select("shipment_id", first, "cargo_items")])
 
 
 def shipment_detail(shipments: DataFrame, carriers: DataFrame, companies: DataFrame, cargo: DataFrame, events: DataFrame, as_of: str) -> DataFrame:

@@ -157,6 +157,32 @@ def test_only_shipments_with_more_than_a_page_are_numbered(table, monkeypatch):
     assert len(rows(projections.cargo_pages(cargo, page_size=5))) == 4 and numbered == [8]
 
 
+def test_pages_shuffle_the_items_once(spark, table, monkeypatch, tmp_path):
+    table("cargo", *[{"id": f"g{n}", "shipment_id": s} for n, s in enumerate(["s1", "s1", "s2", None, None, None, "s3", "s3", "s3"])]).write.parquet(str(tmp_path / "cargo"))
+    cargo = spark.read.parquet(str(tmp_path / "cargo"))
+    monkeypatch.setattr(projections, "materialized", None)  # nothing is stored
+    for name, value in (("spark.sql.autoBroadcastJoinThreshold", "-1"), ("spark.sql.adaptive.enabled", "false")):
+        spark.conf.set(name, value)
+    try:
+        plan = spark._jvm.PythonSQLUtils.explainString(projections.cargo_pages(cargo, page_size=2)._jdf.queryExecution(), "formatted")
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    shuffles = [part for part in plan.split("\n\n") if ") Exchange" in part]
+    assert len(shuffles) == 1 and "gross_weight_kg" in shuffles[0] and ") ReusedExchange" in plan
+
+
+def test_large_shipments_are_paged_by_ranges_to_the_same_pages(table, monkeypatch):
+    owners = ["s1"] * 7 + [None] * 6 + ["s2"] * 3 + ["s3"] * 5 + ["s4"]
+    cargo = table("cargo", *[{"id": f"g{n % 17:02d}", "shipment_id": s} for n, s in enumerate(owners)])
+    rows = lambda: sorted((r["shipment_id"] or "", r["cargo_page"], [i["id"] for i in r["cargo_items"]]) for r in projections.cargo_pages(cargo, page_size=2).collect())
+    whole, by_range, positions = rows(), [], projections.positions
+    monkeypatch.setattr(projections, "MOST_IN_A_TASK", 5)
+    monkeypatch.setattr(projections, "positions", lambda df, *a, whole=False, **k: by_range.append((df.count(), whole)) or positions(df, *a, whole=whole, **k))
+    assert rows() == whole and by_range == [(13, False), (8, True)]
+    assert sum(len(ids) for _, _, ids in whole) == len(owners) and whole[-1] == ("s4", 0, ["g04"])
+
+
 def test_page_size_is_refused_outside_its_limits(table):
     for size in (0, 201):
         with pytest.raises(ValueError, match="size"):
