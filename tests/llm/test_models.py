@@ -13,6 +13,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from made import made_texts
 from pyspark.sql import functions as F
 
 from lanewise.llm import language_model, mixing, quality, textblocks, token_counts, token_files
